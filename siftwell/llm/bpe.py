@@ -17,6 +17,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,8 @@ from pyspark.sql import DataFrame
 
 from siftwell.llm.common import slices
 
-#: Distinct words that a worker keeps; beyond it the store is emptied and filled anew.
+#: Distinct words, and distinct pre-tokens, that a worker keeps; a store beyond it is emptied and filled anew.
 WORD_STORE = 600_000
-MAX_TOKEN = 64
 _NEVER = 1 << 40
 _OPEN = {}
 
@@ -87,10 +87,12 @@ class SpeculativeBPE:
         key = left * self.size + right
         order = np.argsort(key, kind="stable")
         self.pair_key, self.pair_rank = key[order], order
-        self.merge_of = {(int(a), int(b)): (r, int(m)) for r, (a, b, m) in enumerate(zip(left, right, made))}
+        self.rank_of = dict(zip(zip(left.tolist(), right.tolist()), range(len(merges))))
+        self.made = made.tolist()
         self._index_tokens(vocab)
         self.sound = self._sound_tokens(left, right, made)
         self.find = word_pattern().findall
+        self.pieces: dict[str, list[int]] = {}
         self.reset()
 
     def _index_tokens(self, vocab: dict[str, int]) -> None:
@@ -153,11 +155,16 @@ class SpeculativeBPE:
         ids = [self.inner[word[i : i + 1]] for i in range(len(word) - 1)] + [self.final[word[-1:]]]
         if len(ids) > 256:
             return self._merged_long(ids)
-        while len(ids) > 1:
-            best, at = min((self.merge_of.get(p, (_NEVER, 0))[0], i) for i, p in enumerate(zip(ids, ids[1:])))
-            if best == _NEVER:
-                break
-            ids[at : at + 2] = [self.merge_of[ids[at], ids[at + 1]][1]]
+        rank, made = self.rank_of.get, self.made
+        ranks = [rank(p, _NEVER) for p in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) != _NEVER:
+            i = ranks.index(best)
+            ids[i : i + 2] = [made[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), _NEVER)
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), _NEVER)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
@@ -166,20 +173,20 @@ class SpeculativeBPE:
 
         n = len(ids)
         after, before, gone = [*range(1, n), -1], [*range(-1, n - 1)], [False] * n
-        heap = [(self.merge_of[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.merge_of]
+        heap = [(self.rank_of[p], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.rank_of]
         heapq.heapify(heap)
         while heap:
             _, i, pair = heapq.heappop(heap)
             j = after[i]
             if gone[i] or j < 0 or (ids[i], ids[j]) != pair:
                 continue
-            ids[i], gone[j] = self.merge_of[pair][1], True
+            ids[i], gone[j] = self.made[self.rank_of[pair]], True
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for s in (before[i], i):
-                if s >= 0 and after[s] >= 0 and (p := (ids[s], ids[after[s]])) in self.merge_of:
-                    heapq.heappush(heap, (self.merge_of[p][0], s, p))
+                if s >= 0 and after[s] >= 0 and (p := (ids[s], ids[after[s]])) in self.rank_of:
+                    heapq.heappush(heap, (self.rank_of[p], s, p))
         return [t for t, g in zip(ids, gone) if not g]
 
     def proposed(self, word: bytes) -> list[int]:
@@ -214,19 +221,24 @@ class SpeculativeBPE:
         return ids
 
     def reset(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.shown: list[str] = []
+        self.codes: dict[str | int, int] = {}
+        self.count = 0
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _learn(self, words: list[str]) -> None:
-        split = [[self.special[w]] if w in self.special else None for w in words]
-        plain = [w for w, s in zip(words, split) if s is None]
-        done = iter(self.split_words(plain) if plain else [])
-        split = [s if s is not None else next(done) for s in split]
-        n, k = sum(map(len, split)), len(self.shown)
+    def _learn(self, words: list[str | int]) -> None:
+        """Store the ids of words as they stand between white space; an int is a special token's id."""
+        parts = [None if isinstance(w, int) else self.find(w) for w in words]
+        if len(self.pieces) > WORD_STORE:
+            self.pieces = {}
+        pieces = self.pieces
+        new = list(dict.fromkeys(p for ps in parts if ps for p in ps if p not in pieces))
+        if new:
+            pieces.update(zip(new, self.split_words(new)))
+        split = [[w] if ps is None else pieces[ps[0]] if len(ps) == 1 else [t for p in ps for t in pieces[p]] for w, ps in zip(words, parts)]
+        n, k = sum(map(len, split)), self.count
         while self.used + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while k + len(words) > len(self.start):
@@ -237,39 +249,39 @@ class SpeculativeBPE:
         self.length[k : k + len(words)] = lens
         self.start[k : k + len(words)] = self.used + np.cumsum(lens) - lens
         self.used += n
-        text = self.text
-        for w, s in zip(words, split):
-            self.codes[w] = len(self.shown)
-            self.shown.append(" ".join([text[t] for t in s]))
+        self.codes.update(zip(words, range(k, k + len(words))))
+        self.count += len(words)
 
-    def words(self, text: str) -> list[str]:
-        """Normalised pre-tokens; strings of special tokens stand for themselves."""
+    def words(self, text: str) -> list[str | int]:
+        """Normalised words between white space; strings of special tokens become their ids."""
         if self.special_pattern is not None and "<|" in text:
             parts = self.special_pattern.split(text)
             if len(parts) > 1:
-                return [w for i, p in enumerate(parts) for w in ([p] if i % 2 else self.find(self._normal(p)))]
-        return self.find(self._normal(text))
+                return [w for i, p in enumerate(parts) for w in ([self.special[p]] if i % 2 else self._plain(p))]
+        return self._plain(text)
 
-    @staticmethod
-    def _normal(text: str) -> str:
+    def _plain(self, text: str) -> list[str]:
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # lower-casing is by single characters: no final sigma
-        return text.lower()
+        text = text.lower()
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for split() but not for the pattern
+            return self.find(text)
+        return text.split()
 
     def word_codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A code for each word of all texts, and the number of words of each text."""
-        if len(self.shown) > WORD_STORE:
+        if self.count > WORD_STORE:
             self.reset()
         split = [self.words(t) if t else [] for t in texts]
-        codes = self.codes
-        new = dict.fromkeys(w for ws in split for w in ws if w not in codes)
-        if new:
-            self._learn(list(new))
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        flat = np.fromiter((codes[w] for ws in split for w in ws), np.int64, int(counts.sum()))
-        return flat, counts
+        listed = list(chain.from_iterable(split))
+        found = list(map(self.codes.get, listed))
+        if None in found:
+            self._learn(list(dict.fromkeys(w for w, c in zip(listed, found) if c is None)))
+            found = list(map(self.codes.__getitem__, listed))
+        return np.array(found, np.int64), counts
 
     def ids_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the coded words, and the number of ids of each word."""
@@ -288,7 +300,8 @@ class SpeculativeBPE:
 
     def decode(self, ids) -> str:
         """The library joins token texts with a space where a file names no decoder."""
-        return " ".join([self.text[int(i)] for i in ids])
+        text = self.text
+        return " ".join([text[i] for i in ids])
 
 
 def opened(blob: bytes) -> SpeculativeBPE:
@@ -348,9 +361,10 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(n)])
                 w = np.concatenate([[0], np.cumsum(words)])
                 at = ends[w]
-                shown, listed = bpe.shown, codes.tolist()
+                used, where = np.unique(codes, return_inverse=True)
+                listed, shown = where.tolist(), [bpe.decode(bpe.flat[bpe.start[c] : bpe.start[c] + bpe.length[c]].tolist()) for c in used.tolist()]
                 ids_sha = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                texts = [" ".join([shown[c] for c in listed[a:b]]) for a, b in zip(w[:-1].tolist(), w[1:].tolist())]
+                texts = [" ".join([shown[c] for c in listed[a:b] if shown[c]]) for a, b in zip(w[:-1].tolist(), w[1:].tolist())]
                 text_sha = [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

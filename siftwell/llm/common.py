@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     if not n:
         return
     col = batch.column(column)
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
     ends = np.cumsum(lengths)
     i = 0
     while i < n:
@@ -69,7 +70,7 @@ def joined_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one byte array, and the n + 1 offsets; a null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = pa.compute.fill_null(col.cast(pa.large_binary()), b"")
+    col = pc.fill_null(col.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset : col.offset + len(col) + 1]
     data = col.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
