@@ -75,3 +75,11 @@ def joined_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = col.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of tables that are staged and no longer referenced."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
