@@ -6,7 +6,8 @@ the base rules and every row of the table.
 
 A null text counts as empty (no words, so it fails). Texts of any length are measured whole: the
 repeated windows are found by sorting the text's own window hashes, not by comparing all pairs.
-Only doc_id and text are read, so other columns can't clash. An empty table gives no rows.
+Only doc_id and text are read; the other columns are kept apart and can't clash. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -53,8 +54,8 @@ THRESHOLDS = (
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """The base counts and the ratios of each document."""
-    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """The base counts and the ratios of each document; its own columns stay together in `row`."""
+    df = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     df = df.withColumn("words", F.filter(F.split("text", WORD_SPACE), lambda w: w != ""))
     df = df.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     n = F.size("words")
@@ -71,7 +72,7 @@ def measured(docs: DataFrame) -> DataFrame:
     covered = F.aggregate("starts", first, lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(k), x - a["last"])).alias("n")), lambda a: a["n"])
     folded = F.transform("words", lambda w: F.lower(w))
     df = df.select(
-        "doc_id",
+        "row",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.concat_ws("", "words")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -108,7 +109,17 @@ def passes(rules=THRESHOLDS) -> Column:
     return ok
 
 
-def judged(docs: DataFrame, rules=THRESHOLDS) -> DataFrame:
-    """The measures of each document with base_failed and kept."""
+def _verdicts(docs: DataFrame, rules) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return measured(docs).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & passes(rules))
+
+
+def judged(docs: DataFrame, rules=THRESHOLDS) -> DataFrame:
+    """doc_id, the measures, base_failed and kept of each document."""
+    df = _verdicts(docs.select("doc_id", "text"), rules)
+    return df.select("row.doc_id", *[c for c in df.columns if c != "row"])
+
+
+def passing(docs: DataFrame, rules=THRESHOLDS) -> DataFrame:
+    """The documents that are kept, with their columns."""
+    return _verdicts(docs, rules).where("kept").select("row.*")
