@@ -67,8 +67,8 @@ def _rules_sql() -> str:
     k = rules.WINDOW_WORDS
     return rf"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
-        list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-        list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+        list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
     win AS (SELECT doc_id, i, array_to_string(w[i:i + {k - 1}], ' ') AS g FROM d, unnest(range(1, len(w) - {k - 2})) AS u(i)),
     twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
     cover AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, unnest(range(0, {k})) AS v(j) GROUP BY doc_id),
@@ -76,7 +76,7 @@ def _rules_sql() -> str:
         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
         (length(t) - length(regexp_replace(t, '[!?]', '', 'g'))) AS n_shouts,
         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines,
-        len(list_filter(w, x -> lower(x) IN ({stop}))) AS n_stop,
+        len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS n_stop,
         coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN cover c USING (doc_id)),
     r AS (SELECT *, word_chars / greatest(n_words, 1)::DOUBLE AS mean_word_chars, n_symbols / greatest(n_words, 1)::DOUBLE AS symbols_per_word,
         n_shouts / greatest(n_words, 1)::DOUBLE AS shouts_per_word, n_dup_lines / greatest(n_lines, 1)::DOUBLE AS dup_line_ratio,
