@@ -36,7 +36,9 @@ MIN_BYTES = 100
 K = 32
 LEFT = MIN_BYTES - K
 #: Rows whose suffixes are sorted together; whole anchors only.
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = 1 << 15
+#: Text whose anchors are found at once; about a hundred bytes of working memory a byte.
+ANCHOR_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_HASH = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -107,7 +109,7 @@ def anchor_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in slices(batch, "text"):
+            for i, j in slices(batch, "text", ANCHOR_BYTES):
                 part = batch.slice(i, j - i)
                 data, offsets = joined_bytes(part.column("text"))
                 d, pos, anchor, around = anchors(data, offsets)
