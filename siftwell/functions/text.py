@@ -205,8 +205,7 @@ def cut_bytes(text: Column | str, most: int, mark: str = "") -> Column:
     """The longest prefix of whole characters in `most` bytes."""
     c = _c(text)
     raw = F.substring(F.encode(c, "UTF-8"), 1, most)
-    cut = F.decode(raw, "UTF-8")
-    clean = F.regexp_replace(cut, "\\x{FFFD}{1,3}$", "")
+    clean = F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "\\x{FFFD}{1,3}$", "")
     return F.when(F.octet_length(c) <= most, c).otherwise(F.concat(clean, F.lit(mark)))
 
 

@@ -1,4 +1,417 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, each with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from siftwell.functions import text as T
+from siftwell.operators import chains, chunking, evaluation, fusion, lexical, lines, mining, skills, sync, vectors
+from siftwell.plans import fixtures
+from siftwell.sources import workspace
+from siftwell.streaming import watch
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def files(spark: SparkSession, sf: str) -> DataFrame:
+    return workspace.documents_as_files(table(spark, sf, "documents"))
+
+
+FILES = "files AS (SELECT source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, text AS content FROM documents)"
+LINES = FILES + r""", arr AS (SELECT path, list_transform(string_split(regexp_replace(content, '\n$', ''), chr(10)), lambda x: regexp_replace(x, '\r$', '')) AS l FROM files WHERE content <> ''),
+ln AS (SELECT path, i AS line, l[i] AS text FROM arr, unnest(range(1, len(l) + 1)) AS u(i))"""
+
+
+def chunks_sql(size: int, step: int) -> str:
+    return LINES + f""", w AS (SELECT path, l, len(l) AS n, unnest(range(0, CASE WHEN len(l) <= {size} THEN 1 ELSE 1 + ceil((len(l) - {size}) / {step}.0)::BIGINT END)) AS k FROM arr),
+chunks AS (SELECT path, k * {step} + 1 AS start, least(n, k * {step} + {size}) AS "end", array_to_string(l[k * {step} + 1 : k * {step} + {size}], chr(10)) AS text FROM w)"""
+
+
+# --- exact search ---------------------------------------------------------------
+
+
+@query(f"WITH {LINES} SELECT path, line, text FROM ln WHERE contains(text, 'License')")
+def exact_literal(spark, sf):
+    return lines.search(files(spark, sf), "License", limit=None)
+
+
+@query(f"WITH {LINES} SELECT path, line, text FROM ln WHERE regexp_matches(text, '(?i)license, version 3\\.')")
+def exact_ci(spark, sf):
+    return lines.search(files(spark, sf), "'LICENSE, VERSION 3.'", ignore_case=True, limit=None)
+
+
+@query(f"WITH {LINES} SELECT path, line, text FROM ln WHERE regexp_matches(text, '[0-9]{{3}}-[0-9]{{4}}')")
+def exact_regex(spark, sf):
+    return lines.search(files(spark, sf), r"[0-9]{3}-[0-9]{4}", regex=True, limit=None)
+
+
+@query(f"WITH {LINES} SELECT path, line, text FROM ln WHERE contains(text, 'the') ORDER BY path, line LIMIT 100")
+def exact_topn(spark, sf):
+    return lines.search(files(spark, sf), "the")
+
+
+@query(f"WITH {LINES} SELECT path, line, text FROM ln WHERE regexp_matches(text, '(?i)reserved|license') ORDER BY path, line LIMIT 100")
+def fallback_search(spark, sf):
+    return lines.fallback(files(spark, sf), ["reserved", "license"])
+
+
+@query("SELECT page_id, url FROM pages WHERE lower(regexp_extract(url, '\\.([^./]+)$', 1)) IN ('md', 'markdown', 'js', 'mjs', 'cjs', 'ts', 'mts', 'cts', 'tsx', 'jsx')")
+def lang_filter(spark, sf):
+    return table(spark, sf, "pages").where(T.in_languages("url", ["markdown", "typescript"])).select("page_id", "url")
+
+
+@query(f"WITH {FILES} SELECT path FROM files WHERE regexp_matches(path, '^src1[^/]*/') AND NOT regexp_matches(path, '^(?:.*/)?doc_[^/]*7\\.txt$')")
+def glob_filter(spark, sf):
+    return files(spark, sf).where(T.keeps_globs("path", ["src1*/**", "!doc_*7.txt"])).select("path")
+
+
+@query(f"WITH {FILES} SELECT path, contains(content, chr(0)) OR len(list_filter(string_split(content, chr(10)), lambda x: strlen(x) > 8192)) > 0 AS rejected FROM files")
+def binary_longline_reject(spark, sf):
+    return files(spark, sf).select("path", workspace.accepted_content("content", False).alias("rejected"))
+
+
+@query(f"WITH {FILES} SELECT path, len(list_filter(string_split(path, '/'), lambda x: x IN ('.git', 'target', 'node_modules', '.siftwell'))) = 0 AS relevant FROM files")
+def watch_paths(spark, sf):
+    return files(spark, sf).select("path", workspace.watch_relevant("path").alias("relevant"))
+
+
+# --- chunks ---------------------------------------------------------------------
+
+
+def _windows(size: int, step: int):
+    return lambda spark, sf: chunking.windows(files(spark, sf), size, step).select("path", "start", "end", "breadcrumb", F.length("text").cast("long").alias("n_chars"))
+
+
+for _name, _size, _step in (("windows_lexical", 150, 135), ("windows_vector", 50, 40), ("windows_small", 5, 4)):
+    QUERIES[_name] = _windows(_size, _step)
+    ORACLES[_name] = f"WITH {chunks_sql(_size, _step)} SELECT path, start, \"end\", 'lines ' || start || '-' || \"end\" AS breadcrumb, length(text)::BIGINT AS n_chars FROM chunks"
+
+
+@query(
+    f"""WITH {chunks_sql(5, 4)}, pts AS (SELECT path, line FROM ln WHERE contains(text, 'License')), met AS (SELECT p.path, p.line, c.start, c."end",
+    row_number() OVER (PARTITION BY p.path, p.line ORDER BY c."end" - c.start, c.start) AS n FROM pts p JOIN chunks c ON p.path = c.path AND c.start <= p.line AND p.line <= c."end")
+    SELECT path, line, start, "end" FROM met WHERE n = 1"""
+)
+def enclosing_chunk(spark, sf):
+    f = files(spark, sf)
+    points = lines.search(f, "License", limit=None).select("path", "line")
+    return chunking.enclosing(chunking.windows(f, 5, 4), points).select("path", "line", "start", "end")
+
+
+@query()
+def sections(spark, sf):
+    return chunking.sections(fixtures.workspace(spark))
+
+
+@query()
+def header_block(spark, sf):
+    return chunking.headers(fixtures.workspace(spark))
+
+
+@query()
+def symbols_python(spark, sf):
+    return chunking.split_oversized(chunking.python_symbols(fixtures.workspace(spark)))
+
+
+@query()
+def call_resolution(spark, sf):
+    f = fixtures.workspace(spark)
+    symbols = chunking.python_symbols(f).select("path", T.simple_name("breadcrumb").alias("name"))
+    return chains.resolve(chunking.python_calls(f), symbols)
+
+
+@query()
+def chain_chunks(spark, sf):
+    f = fixtures.workspace(spark)
+    chunks = chunking.python_symbols(f)
+    resolved = chains.resolve(chunking.python_calls(f), chunks.select("path", T.simple_name("breadcrumb").alias("name")))
+    return chains.chain_chunks(resolved, chunks)
+
+
+# --- lexical --------------------------------------------------------------------
+
+TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '' AND strlen(t) <= 40)"
+ASKED = f"asked AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest({TOKENS.format('text')}) AS term FROM benchmark))"
+
+
+def bm25_sql(asked: str, size: int, step: int) -> str:
+    return f"""WITH {chunks_sql(size, step)}, {asked},
+    tok AS (SELECT path, start, "end", {TOKENS.format('text')} AS t FROM chunks),
+    stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
+    tf AS (SELECT path, start, "end", len(t) AS dl, term, count(*) AS tf FROM (SELECT path, start, "end", t, unnest(t) AS term FROM tok) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    s AS (SELECT query_id, path, start, "end", round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+      FROM tf JOIN df USING (term) JOIN asked USING (term), stats GROUP BY query_id, path, start, "end"),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, start, "end") AS rank FROM s)"""
+
+
+def benchmark_queries(spark, sf) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _bm25(spark, sf, queries: DataFrame, limit: int = 10) -> DataFrame:
+    chunks = chunking.windows(files(spark, sf))
+    return lexical.search(chunks, queries, limit, fields=("text",)).select("query_id", "path", "start", "end", "score", "rank")
+
+
+@query(bm25_sql(ASKED, 150, 135) + ' SELECT query_id, path, start, "end", score, rank FROM ranked WHERE rank <= 10')
+def bm25_batch(spark, sf):
+    return _bm25(spark, sf, benchmark_queries(spark, sf))
+
+
+@query(bm25_sql("asked AS (SELECT 0::BIGINT AS query_id, unnest(['gnu', 'license', 'public']) AS term)", 150, 135) + ' SELECT query_id, path, start, "end", score, rank FROM ranked WHERE rank <= 10')
+def bm25_top(spark, sf):
+    return _bm25(spark, sf, spark.createDataFrame([(0, "GNU public-license")], "query_id long, query string"))
+
+
+@query(f"WITH {FILES}, tf AS (SELECT path, term, count(*) AS tf FROM (SELECT path, unnest({TOKENS.format('content')}) AS term FROM files) GROUP BY ALL) SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term")
+def term_stats(spark, sf):
+    f = files(spark, sf).select("path", F.lit(1).alias("start"), F.lit(1).alias("end"), F.lit("").alias("breadcrumb"), F.col("content").alias("text"))
+    return lexical.term_stats(f)
+
+
+@query(f"WITH {FILES}, t AS (SELECT path, ' ' || array_to_string({TOKENS.format('content')}, ' ') || ' ' AS s FROM files) SELECT path FROM t WHERE contains(s, ' gnu general public license ')")
+def phrase_match(spark, sf):
+    f = files(spark, sf).select("path", F.lit(1).alias("start"), F.lit(1).alias("end"), F.lit("").alias("breadcrumb"), F.col("content").alias("text"))
+    return lexical.phrase(f, ["gnu", "general", "public", "license"]).select("path")
+
+
+# --- vectors --------------------------------------------------------------------
+
+
+@query("SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 50")
+def vector_top(spark, sf):
+    store = table(spark, sf, "embeddings")
+    q = store.where("vec_id = 0").select("embedding").first()[0]
+    return vectors.top(store, q, 50, ["vec_id"])
+
+
+@query(
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 16),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10"""
+)
+def vector_batch(spark, sf):
+    store = table(spark, sf, "embeddings")
+    queries = store.where("vec_id < 16").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return vectors.top_batch(store, queries, 10, ["vec_id"])
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS norm FROM embeddings")
+def normalize_vectors(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", T.normalized("embedding").alias("v"))
+    return e.select("vec_id", F.round(T.dot("v", "v"), 6).alias("norm"))
+
+
+# --- fusion ---------------------------------------------------------------------
+
+
+@query(bm25_sql(ASKED, 5, 4) + """, l AS (SELECT query_id, path, (start // 8) * 8 AS start, rank FROM ranked WHERE rank <= 50)
+    SELECT query_id, path, start, round(sum(2.0 / (20 + rank)), 6) AS score, min(rank) AS lexical_rank FROM l GROUP BY query_id, path, start""")
+def rrf_lexical_dedupe(spark, sf):
+    hits = lexical.search(chunking.windows(files(spark, sf), 5, 4), benchmark_queries(spark, sf), 50, fields=("text",))
+    coarse = hits.withColumn("start", F.floor(F.col("start") / 8) * 8).withColumn("end", F.col("start") + 7).withColumn("breadcrumb", F.lit(""))
+    return fusion.merged_lexical(coarse).select("query_id", "path", "start", F.round("lexical_sum", 6).alias("score"), "lexical_rank")
+
+
+@query("SELECT r AS id, CASE WHEN r % 5 = 0 THEN 'ast' WHEN r % 2 = 0 AND r % 3 = 0 THEN 'bm25+vec' WHEN r % 2 = 0 THEN 'bm25' WHEN r % 3 = 0 THEN 'vec' ELSE 'rg' END AS source FROM range(100) t(r)")
+def source_label(spark, sf):
+    rank = lambda k: F.when(F.col("id") % k == 0, 1)
+    return spark.range(100).select("id", T.source_label(rank(2), rank(3), rank(5)).alias("source"))
+
+
+def _two_lists(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """A lexical list over small windows and, in the role of a vector list, one over larger windows."""
+    f, queries = files(spark, sf), benchmark_queries(spark, sf)
+    return tuple(lexical.search(chunking.windows(f, *w), queries, fusion.depth(10), fields=("text",)) for w in ((5, 4), (8, 6)))
+
+
+@query()
+def rrf_overlap(spark, sf):
+    return fusion.hybrid(*_two_lists(spark, sf)).select("query_id", "path", "start", "end", "lexical_rank", "vector_rank", F.round("score", 6).alias("score"), "source", "rank")
+
+
+# --- routing, text --------------------------------------------------------------
+
+
+@query(
+    r"""WITH q AS (SELECT conv_id, turn, trim(split_part(text, ' ', 1)) AS q FROM conversations)
+    SELECT conv_id, turn, CASE WHEN regexp_matches(q, '^(".+"|''.+''|`.+`)$') THEN 'literal' WHEN regexp_matches(q, '^[A-Za-z_][A-Za-z0-9_]*(::[A-Za-z_][A-Za-z0-9_]*)+$') THEN 'literal'
+    WHEN regexp_matches(q, '^[A-Za-z_][A-Za-z0-9_./-]*$') THEN 'identifier' ELSE 'intent' END AS route FROM q"""
+)
+def route_queries(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.route(F.split("text", " ")[0]).alias("route"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.FALLBACK_STOP)
+
+
+@query(
+    rf"""WITH p AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[^A-Za-z0-9\-_./]+'), lambda t: strlen(t) >= 2 AND NOT (lower(t) IN ({_STOP}))) AS t FROM benchmark),
+    e AS (SELECT item_id, unnest(t) AS t FROM p), o AS (SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY -strlen(t), t) AS n FROM e),
+    d AS (SELECT *, lag(lower(t)) OVER (PARTITION BY item_id ORDER BY n) AS prev FROM o), k AS (SELECT item_id, t, n FROM d WHERE prev IS NULL OR prev <> lower(t)),
+    i AS (SELECT *, count(*) FILTER (regexp_matches(t, '[-_/.A-Z]')) OVER (PARTITION BY item_id) AS named FROM k),
+    f AS (SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY n) AS n FROM i WHERE named = 0 OR regexp_matches(t, '[-_/.A-Z]'))
+    SELECT item_id, string_agg(t, ' ' ORDER BY n) AS terms FROM f WHERE n <= 8 GROUP BY item_id"""
+)
+def fallback_terms(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", F.concat_ws(" ", T.fallback_terms("text")).alias("terms"))
+
+
+_SECRETS = "|".join(T.SECRET_NAMES)
+
+
+@query(
+    rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(^|\s)[^\s@]+@[^\s@]+\.[^\s@]+', '\1[redacted]', 'g'), '(?i)([A-Za-z0-9_\-]*(?:{_SECRETS})\s*[=:]\s*)("[^"]*"|''[^'']*''|[^\s]+)', '\1[redacted]', 'g')) AS digest FROM documents"""
+)
+def redact_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.redacted("text")).alias("digest"))
+
+
+@query("SELECT page_id, trim(regexp_replace(html, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS text FROM pages")
+def collapse_space(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.collapsed("html").alias("text"))
+
+
+# --- sync -----------------------------------------------------------------------
+
+
+def _snapshots(spark, sf) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, sf, "orders")
+    base = o.select(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_orderdate").cast("timestamp").alias("mtime"), "o_orderkey", F.col("o_custkey").alias("len"))
+    old = base.where("o_orderkey % 7 <> 0").drop("o_orderkey")
+    new = base.where("o_orderkey % 11 <> 0").withColumn("len", F.col("len") + F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)).drop("o_orderkey")
+    return new, old
+
+
+_DIFF = """WITH d AS (SELECT 'f' || o_orderkey AS path, CASE WHEN o_orderkey % 7 = 0 THEN 'new' WHEN o_orderkey % 11 = 0 THEN 'removed' WHEN o_orderkey % 5 = 0 THEN 'changed' ELSE 'same' END AS status
+    FROM (SELECT DISTINCT o_orderkey FROM orders) WHERE NOT (o_orderkey % 7 = 0 AND o_orderkey % 11 = 0))"""
+
+
+@query(_DIFF + " SELECT * FROM d")
+def manifest_diff(spark, sf):
+    return sync.diff(*_snapshots(spark, sf))
+
+
+@query(_DIFF + " SELECT count(*) FILTER (status <> 'same') > 0 AS stale, count(*) FILTER (status = 'new') AS n_new, count(*) FILTER (status = 'changed') AS n_changed, count(*) FILTER (status = 'removed') AS n_removed, count(*) FILTER (status = 'same') AS n_same FROM d")
+def stale_check(spark, sf):
+    return sync.stale(*_snapshots(spark, sf))
+
+
+def _stores(spark, sf) -> tuple[DataFrame, DataFrame]:
+    d = table(spark, sf, "documents").select(F.col("source").alias("rel"), F.col("doc_id").alias("start"), F.col("doc_id").alias("end"), F.col("lang").alias("breadcrumb"), "text", "doc_id")
+    current = d.where("doc_id % 3 <> 0").drop("doc_id")
+    store = d.where("doc_id % 4 <> 0").withColumn("text", F.when(F.col("doc_id") % 10 == 1, "old").otherwise(F.col("text"))).drop("doc_id")
+    return current, store
+
+
+@query("SELECT source AS rel, doc_id AS start FROM documents WHERE doc_id % 3 <> 0 AND (doc_id % 4 = 0 OR (doc_id % 10 = 1 AND text <> 'old'))")
+def needs_embed(spark, sf):
+    return vectors.needs_embedding(*_stores(spark, sf)).select("rel", "start")
+
+
+@query("SELECT source AS rel, doc_id AS start FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 4 <> 0")
+def retain_ids(spark, sf):
+    current, store = _stores(spark, sf)
+    return vectors.retained(store, current).select("rel", "start")
+
+
+@query()
+def embed_sync(spark, sf):
+    current, store = _stores(spark, sf)
+    have = vectors.embedded(store, fixtures.length_embedding)
+    return vectors.sync(current, have, fixtures.length_embedding).select("rel", "start", F.round(T.dot("embedding", "embedding"), 6).alias("norm"))
+
+
+# --- evaluation -----------------------------------------------------------------
+
+_LABELLED = "SELECT doc_id::VARCHAR AS id, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'plain' END AS kind, CASE WHEN quality = 1 THEN 'x' END AS expected, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id % 23 + 1 END AS rank, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 10 END AS hits FROM labels"
+
+
+def _outcomes(spark, sf) -> DataFrame:
+    return table(spark, sf, "labels").select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.when(F.col("toxic") == 1, "toxic").otherwise("plain").alias("kind"),
+        F.when(F.col("quality") == 1, "x").alias("expected"),
+        F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") % 23 + 1).alias("rank"),
+        F.when(F.col("doc_id") % 4 == 0, 0).otherwise(10).alias("hits"),
+    )
+
+
+_RECALL = "round(avg(coalesce((rank <= {0})::INT::DOUBLE, 0.0)) FILTER (expected IS NOT NULL), 6) AS recall_{0}"
+
+
+@query(f"WITH o AS ({_LABELLED}) SELECT count(*) AS cases, {', '.join(_RECALL.format(k) for k in evaluation.DEPTHS)}, round(avg(coalesce(1.0::DOUBLE / rank, 0.0)) FILTER (expected IS NOT NULL), 6) AS mrr, count(*) FILTER (expected IS NULL AND hits = 0) AS empty_correct, count(*) FILTER (expected IS NOT NULL AND hits = 0) AS false_abstentions FROM o")
+def eval_recall(spark, sf):
+    return evaluation.report(_outcomes(spark, sf))
+
+
+@query(f"WITH o AS ({_LABELLED}) SELECT kind, {_RECALL.format(3)}, count(*) AS cases FROM o WHERE expected IS NOT NULL GROUP BY kind")
+def eval_kind(spark, sf):
+    return evaluation.by_kind(_outcomes(spark, sf))
+
+
+@query("SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
+def latency_quantiles(spark, sf):
+    return evaluation.latency(table(spark, sf, "events"), "value", ["event_type"])
+
+
+@query("SELECT event_type AS tool, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY event_type")
+def log_mix(spark, sf):
+    e = table(spark, sf, "events").groupBy(F.col("event_type").alias("tool")).agg(F.count(F.lit(1)).alias("n"))
+    return e.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy()), 6))  # a row a tool
+
+
+@query(
+    """WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+    SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 10 MINUTE) AS end_us, count(*) AS n_events FROM s GROUP BY user_id, k"""
+)
+def debounce_sessions(spark, sf):
+    s = watch.sessions(table(spark, sf, "events"), by=["user_id"], gap="10 minutes")
+    return s.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n_events")
+
+
+# --- skills, mining -------------------------------------------------------------
+
+_SKILL_STOP = ", ".join(f"'{w}'" for w in T.SKILL_STOP)
+_SKILL_TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: strlen(t) > 1 AND NOT (t IN (" + _SKILL_STOP + "))))"
+
+
+@query(f"WITH t AS (SELECT doc_id, {_SKILL_TOKENS.format('text')} AS t, {_SKILL_TOKENS.format(chr(39) + 'released under the MIT license' + chr(39))} AS q FROM documents) SELECT doc_id, round(len(list_intersect(q, t)) / len(q), 6)::DOUBLE AS score FROM t")
+def skill_overlap(spark, sf):
+    score = T.token_overlap(T.skill_tokens(F.lit("released under the MIT license")), T.skill_tokens("text"))
+    return table(spark, sf, "documents").select("doc_id", F.round(score, 6).alias("score"))
+
+
+@query()
+def skill_rank(spark, sf):
+    return skills.ranked(skills.parsed(fixtures.skill_files(spark)), "how to write release notes")
+
+
+@query(bm25_sql(ASKED, 150, 135) + """, p AS (SELECT query_id, path FROM ranked WHERE rank = 1), n AS (SELECT r.query_id, r.path, r.start, r.rank FROM ranked r ANTI JOIN p USING (query_id, path) WHERE r.rank <= 12),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS neg FROM n) SELECT * FROM k WHERE neg <= 5""")
+def hard_negatives(spark, sf):
+    hits = _bm25(spark, sf, benchmark_queries(spark, sf), 12)
+    return mining.hard_negatives(hits, hits.where("rank = 1")).select("query_id", "path", "start", "rank", "neg")
+
+
+@query("WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS pick FROM documents) SELECT * FROM r WHERE pick <= 20")
+def stratified_sample(spark, sf):
+    return mining.stratified(table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 20)

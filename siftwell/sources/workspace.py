@@ -62,7 +62,7 @@ def ignored(path: Column | str, rules: list[str]) -> Column:
 def readable(files: DataFrame) -> DataFrame:
     """Files that are chunked: within the size cap, no NUL byte, no overlong line; content as text."""
     df = files.where("len <= %d" % FILE_CAP) if "len" in files.columns else files
-    text = F.decode("content", "UTF-8") if dict(df.dtypes)["content"] == "binary" else F.col("content")
+    text = F.make_valid_utf8(F.col("content").cast("string")) if dict(df.dtypes)["content"] == "binary" else F.col("content")
     df = df.withColumn("content", text)
     return df.where(~accepted_content("content", False))
 
