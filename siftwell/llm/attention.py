@@ -1,9 +1,13 @@
-"""A small causal self-attention model over subword classes, trained and run in numpy.
+"""A small causal self-attention model over subword ids, trained and run in numpy.
 
-Inputs are subword ids: frequent ids have embeddings of their own, others share their class's. The
-output is a distribution over classes (frequent ids alone, others in groups) times an id's share in
-its class. Sequences run in blocks; a block's queries see the block before and their own up to
-themselves, so context windows overlap by half and each token is scored once.
+Inputs are subword ids: frequent ids have embeddings of their own, others share their group's. The
+output is in two steps: a group of ids with like neighbours, then a leaf in that group (a frequent
+id alone, or all others of the group, of which each has a fixed share). So a token costs a score
+for each group and for each leaf of one group.
+
+Sequences run in blocks; a block's queries see the block before and their own up to themselves, so
+context windows overlap by half and each token is scored once. Query and key projections are one
+matrix (`look`), value and output projections another (`move`).
 """
 
 from __future__ import annotations
@@ -12,32 +16,37 @@ import numpy as np
 
 BLOCK = 16
 WIDTH = 16
-ALONE, GROUPS = 96, 32
-CLASSES = ALONE + GROUPS
+GROUPS, LEAVES = 16, 32
 INPUTS = 1024
 #: Blocks computed at once.
 CHUNK = 512
 
-#: Offsets of the keys of two blocks from a query, and which of them it may see.
+#: Offsets of the keys of two blocks from a query, and which of them it may not see.
 _OFFSET = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
 _HIDDEN = _OFFSET < 0
 _SLOT = np.clip(_OFFSET, 0, 2 * BLOCK - 1)
-_NAMES = ("embed", "query", "key", "value", "out", "bias", "near", "classes")
+_NAMES = ("embed", "look", "move", "near", "top", "top_bias", "leaf", "leaf_bias")
 
 
 class Vocabulary:
-    """Classes and input slots of subword ids, from their counts and group labels."""
+    """Group, leaf, share in its leaf and input slot of each id, from counts and group labels."""
 
     def __init__(self, counts: np.ndarray, group: np.ndarray):
         size = len(counts)
         order = np.argsort(-counts, kind="stable")
-        self.cls = ALONE + group.astype(np.int64)
-        self.cls[order[:ALONE]] = np.arange(min(ALONE, size))
+        self.group = group.astype(np.int64)
+        self.leaf = np.full(size, LEAVES - 1)
+        for g in range(GROUPS):
+            first = order[self.group[order] == g][: LEAVES - 1]
+            self.leaf[first] = np.arange(len(first))
         smooth = counts + 0.5
-        mass = np.bincount(self.cls, weights=smooth, minlength=CLASSES)
-        self.class_log = np.log(np.maximum(mass, 1e-9) / mass.sum()).astype(np.float32)
-        self.share_log = np.log(smooth / mass[self.cls])
-        self.slot = INPUTS + self.cls
+        cell = self.group * LEAVES + self.leaf
+        mass = np.bincount(cell, weights=smooth, minlength=GROUPS * LEAVES)
+        self.share_log = np.log(smooth / mass[cell])
+        mass = np.maximum(mass.reshape(GROUPS, LEAVES), 1e-9)
+        self.group_log = np.log(mass.sum(axis=1) / mass.sum()).astype(np.float32)
+        self.leaf_log = np.log(mass / mass.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.slot = INPUTS + self.group
         self.slot[order[:INPUTS]] = np.arange(min(INPUTS, size))
 
 
@@ -46,112 +55,130 @@ def fresh(vocab: Vocabulary, seed: int = 1) -> dict[str, np.ndarray]:
     draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
     d = WIDTH
     return {
-        "embed": draw(INPUTS + CLASSES, d, scale=0.5),
-        "query": draw(d, d, scale=d**-0.5),
-        "key": draw(d, d, scale=d**-0.5),
-        "value": draw(d, d, scale=d**-0.5),
-        "out": draw(d, d, scale=d**-0.5),
-        "bias": vocab.class_log.copy(),
+        "embed": draw(INPUTS + GROUPS, d, scale=0.5),
+        "look": draw(d, d, scale=0.5 / d),
+        "move": draw(d, d, scale=d**-0.5),
         "near": (-0.1 * np.arange(2 * BLOCK)).astype(np.float32),
-        "classes": draw(d, CLASSES, scale=0.05),
+        "top": draw(d, GROUPS, scale=0.05),
+        "top_bias": vocab.group_log.copy(),
+        "leaf": draw(GROUPS, d, LEAVES, scale=0.05),
+        "leaf_bias": vocab.leaf_log.copy(),
     }
 
 
-def blocks_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of all tokens in padded blocks, whether each block begins its sequence, and the number of blocks."""
+def blocks_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all tokens in padded blocks, and whether each block begins its sequence."""
     n = -(-lengths // BLOCK)
     first = np.cumsum(n) - n
     ends = np.cumsum(lengths)
     at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first * BLOCK - (ends - lengths), lengths)
     begins = np.zeros(int(n.sum()), bool)
     begins[first[n > 0]] = True
-    return at, begins, n
+    return at, begins
 
 
 def _attend(p, x, before, begins):
-    """Hidden states of blocks x; before: the inputs of the block that precedes the first one."""
+    """Attention weights, context and hidden states of blocks x; before: the inputs of the block that precedes the first one."""
     d = WIDTH
-    flat = x.reshape(-1, d)
-    q = (flat @ p["query"]).reshape(x.shape)
-    joined = np.concatenate([before[None], x])
-    k = (joined.reshape(-1, d) @ p["key"]).reshape(joined.shape)
-    v = (joined.reshape(-1, d) @ p["value"]).reshape(joined.shape)
-    kk, vv = np.concatenate([k[:-1], k[1:]], axis=1), np.concatenate([v[:-1], v[1:]], axis=1)
-    s = np.matmul(q, kk.transpose(0, 2, 1))
-    s *= np.float32(d**-0.5)
+    xx = np.empty((len(x), 2 * BLOCK, d), np.float32)
+    xx[:, BLOCK:] = x
+    xx[1:, :BLOCK] = x[:-1]
+    xx[0, :BLOCK] = before
+    q = (x.reshape(-1, d) @ p["look"]).reshape(x.shape)
+    s = np.matmul(q, xx.transpose(0, 2, 1))
     s += np.where(_HIDDEN, np.float32(-1e9), p["near"][_SLOT])
     s[begins, :, :BLOCK] = -1e9
-    s -= s.max(axis=2, keepdims=True)
+    np.minimum(s, 60, out=s)
     np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
-    c = np.matmul(s, vv)
-    h = x + (c.reshape(-1, d) @ p["out"]).reshape(x.shape)
-    return q, kk, vv, s, c, h
+    total = s.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, np.float32)
+    s /= (total + np.float32(1e-30)).reshape(len(x), BLOCK, 1)
+    c = np.matmul(s, xx)
+    return xx, q, s, c, x + (c.reshape(-1, d) @ p["move"]).reshape(x.shape)
+
+
+def _normaliser(logits: np.ndarray) -> np.ndarray:
+    """exp(logits) in place and its row sums."""
+    np.minimum(logits, 60, out=logits)
+    np.exp(logits, out=logits)
+    return logits @ np.ones(logits.shape[1], np.float32) + np.float32(1e-30)
 
 
 def log_probs(p: dict[str, np.ndarray], vocab: Vocabulary, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Natural log probability of each target, given the inputs of its sequence so far."""
-    at, begins, _ = blocks_of(lengths)
+    at, begins = blocks_of(lengths)
     nb = len(begins)
-    slots = np.zeros(nb * BLOCK, np.int64)
+    slots, group, leaf = (np.zeros(nb * BLOCK, np.int32) for _ in range(3))
     slots[at] = vocab.slot[inputs]
-    cls = np.zeros(nb * BLOCK, np.int64)
-    cls[at] = vocab.cls[targets]
-    out = np.empty(nb * BLOCK, np.float32)
+    group[at] = vocab.group[targets]
+    leaf[at] = vocab.leaf[targets]
+    out = np.zeros(nb * BLOCK, np.float32)
     before = np.zeros((BLOCK, WIDTH), np.float32)
     for a in range(0, nb, CHUNK):
         b = min(nb, a + CHUNK)
-        x = p["embed"][slots[a * BLOCK : b * BLOCK]].reshape(b - a, BLOCK, WIDTH)
-        h = _attend(p, x, before, begins[a:b])[-1]
+        here = slice(a * BLOCK, b * BLOCK)
+        x = p["embed"][slots[here]].reshape(b - a, BLOCK, WIDTH)
+        h = _attend(p, x, before, begins[a:b])[-1].reshape(-1, WIDTH)
         before = x[-1]
-        logits = h.reshape(-1, WIDTH) @ p["classes"]
-        logits += p["bias"]
-        own = logits[np.arange(len(logits)), cls[a * BLOCK : b * BLOCK]]
-        top = logits.max(axis=1)
-        logits -= top[:, None]
-        np.exp(logits, out=logits)
-        out[a * BLOCK : b * BLOCK] = own - top - np.log(logits.sum(axis=1))
+        g, l = group[here], leaf[here]
+        z = h @ p["top"] + p["top_bias"]
+        score = np.minimum(z[np.arange(len(z)), g], 60)
+        score -= np.log(_normaliser(z))
+        order = np.argsort(g.astype(np.int8), kind="stable")
+        edge = np.searchsorted(g[order], np.arange(GROUPS + 1))
+        h, l = h[order], l[order]
+        part = np.empty(len(h), np.float32)
+        for k in range(GROUPS):
+            i, j = edge[k], edge[k + 1]
+            if i < j:
+                z = h[i:j] @ p["leaf"][k] + p["leaf_bias"][k]
+                own = np.minimum(z[np.arange(j - i), l[i:j]], 60)
+                part[i:j] = own - np.log(_normaliser(z))
+        score[order] += part
+        out[here] = score
     return out[at].astype(np.float64) + vocab.share_log[targets]
 
 
-def _gradients(p, slots, cls, real, begins):
+def _gradients(p, slots, group, leaf, real, begins):
     """Mean loss over real places and its gradients; arrays are shaped (blocks, BLOCK)."""
     d = WIDTH
     x = p["embed"][slots]
-    q, kk, vv, s, c, h = _attend(p, x, np.zeros((BLOCK, d), np.float32), begins)
-    flat = h.reshape(-1, d)
-    logits = flat @ p["classes"] + p["bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    rows, want, weight = np.arange(len(logits)), cls.ravel(), real.ravel().astype(np.float32)
+    xx, q, s, c, h = _attend(p, x, np.zeros((BLOCK, d), np.float32), begins)
+    flat, g_of, l_of = h.reshape(-1, d), group.ravel(), leaf.ravel()
+    weight = real.ravel().astype(np.float32)
     n = max(1.0, float(weight.sum()))
-    loss = -float((np.log(logits[rows, want] + 1e-12) * weight).sum()) / n
-    logits[rows, want] -= 1
-    logits *= (weight / n)[:, None]
-    g = {"classes": flat.T @ logits, "bias": logits.sum(axis=0)}
-    dh = logits @ p["classes"].T
-    cf = c.reshape(-1, d)
-    g["out"] = cf.T @ dh
-    dc = (dh @ p["out"].T).reshape(c.shape)
-    da = np.matmul(dc, vv.transpose(0, 2, 1))
-    dvv = np.matmul(s.transpose(0, 2, 1), dc)
+    weight /= n
+    z = flat @ p["top"] + p["top_bias"]
+    z /= _normaliser(z)[:, None]
+    rows = np.arange(len(z))
+    loss = -float((np.log(z[rows, g_of] + 1e-12) * weight).sum())
+    z[rows, g_of] -= 1
+    z *= weight[:, None]
+    g = {"top": flat.T @ z, "top_bias": z.sum(axis=0), "leaf": np.zeros_like(p["leaf"]), "leaf_bias": np.zeros_like(p["leaf_bias"])}
+    dh = z @ p["top"].T
+    for k in range(GROUPS):
+        mine = np.flatnonzero((g_of == k) & (weight > 0))
+        if len(mine):
+            z = flat[mine] @ p["leaf"][k] + p["leaf_bias"][k]
+            z /= _normaliser(z)[:, None]
+            i = np.arange(len(mine))
+            loss -= float((np.log(z[i, l_of[mine]] + 1e-12) * weight[mine]).sum())
+            z[i, l_of[mine]] -= 1
+            z *= weight[mine][:, None]
+            g["leaf"][k], g["leaf_bias"][k] = flat[mine].T @ z, z.sum(axis=0)
+            dh[mine] += z @ p["leaf"][k].T
+    g["move"] = c.reshape(-1, d).T @ dh
+    dc = (dh @ p["move"].T).reshape(c.shape)
+    da = np.matmul(dc, xx.transpose(0, 2, 1))
     ds = s * (da - (da * s).sum(axis=2, keepdims=True))
     g["near"] = np.bincount(_SLOT[~_HIDDEN], weights=ds.sum(axis=0)[~_HIDDEN], minlength=2 * BLOCK).astype(np.float32)
-    ds *= np.float32(d**-0.5)
-    dq = np.matmul(ds, kk)
-    dkk = np.matmul(ds.transpose(0, 2, 1), q)
-    dk, dv = dkk[:, BLOCK:].copy(), dvv[:, BLOCK:].copy()
-    dk[:-1] += dkk[1:, :BLOCK]
-    dv[:-1] += dvv[1:, :BLOCK]
-    xf = x.reshape(-1, d)
-    dx = dh.copy()
-    for name, grad in (("query", dq), ("key", dk), ("value", dv)):
-        f = grad.reshape(-1, d)
-        g[name] = xf.T @ f
-        dx += f @ p[name].T
+    dq = np.matmul(ds, xx).reshape(-1, d)
+    dxx = np.matmul(s.transpose(0, 2, 1), dc) + np.matmul(ds.transpose(0, 2, 1), q)
+    g["look"] = x.reshape(-1, d).T @ dq
+    dx = dh + dq @ p["look"].T
+    dx = dx.reshape(x.shape) + dxx[:, BLOCK:]
+    dx[:-1] += dxx[1:, :BLOCK]
     e = np.zeros_like(p["embed"])
-    np.add.at(e, slots.ravel(), dx)
+    np.add.at(e, slots.ravel(), dx.reshape(-1, d))
     g["embed"] = e
     return loss, g
 
@@ -167,14 +194,16 @@ def trained(p: dict[str, np.ndarray], vocab: Vocabulary, windows: list[np.ndarra
         for a in range(0, len(windows), batch):
             part = windows[a : a + batch]
             lengths = np.fromiter((len(w) - 1 for w in part), np.int64, len(part))
-            at, begins, _ = blocks_of(lengths)
-            slots, cls, real = np.zeros(len(begins) * BLOCK, np.int64), np.zeros(len(begins) * BLOCK, np.int64), np.zeros(len(begins) * BLOCK, bool)
-            slots[at] = vocab.slot[np.concatenate([w[:-1] for w in part])]
-            cls[at] = vocab.cls[np.concatenate([w[1:] for w in part])]
-            real[at] = True
+            at, begins = blocks_of(lengths)
             if not len(begins):
                 continue
-            loss, g = _gradients(p, slots.reshape(-1, BLOCK), cls.reshape(-1, BLOCK), real.reshape(-1, BLOCK), begins)
+            slots, group, leaf = (np.zeros(len(begins) * BLOCK, np.int64) for _ in range(3))
+            real = np.zeros(len(begins) * BLOCK, bool)
+            targets = np.concatenate([w[1:] for w in part])
+            slots[at] = vocab.slot[np.concatenate([w[:-1] for w in part])]
+            group[at], leaf[at], real[at] = vocab.group[targets], vocab.leaf[targets], True
+            shape = (-1, BLOCK)
+            loss, g = _gradients(p, slots.reshape(shape), group.reshape(shape), leaf.reshape(shape), real.reshape(shape), begins)
             total += loss
             step += 1
             now = rate * min(1.0, step / 10) * (1.0 - 0.9 * step / (count + 1))

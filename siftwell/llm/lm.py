@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,14 @@ from siftwell.llm.common import LOWER_AZ, fold, slices, staged
 FREQUENT = 1 << 17
 WINDOW_WORDS = 32
 #: One window in so many is learned from.
-SHARE = 16
+SHARE = 32
 ROUNDS = 2
 RATE = 0.03
 #: Steps that a task makes at least in a round; a task of few windows goes over them again.
 LEAST_STEPS = 400
+#: Distinct words that a worker keeps what it knows of; a store beyond it is filled anew.
+STORED = 700_000
+_STORES: dict = {}
 #: Distinct words that a task counts before it sends them on.
 COUNTED = 500_000
 #: Frequent ids that are grouped by their neighbours; rarer ones by a rule.
@@ -78,22 +82,23 @@ def windows(train: DataFrame, vocabulary, begin: int, end: int) -> DataFrame:
     """ids ARRAY<INT>: the windows that are learned from, with their document's begin or end where they touch it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = bpe.opened(vocabulary.value)
+        store = store_of(vocabulary.value, np.zeros(0, np.uint64), np.zeros(0))
         h = xxhash.xxh32_intdigest
         for batch in batches:
             for i, j in slices(batch, "text"):
                 part = batch.slice(i, j - i)
-                texts, marks = [], []
+                picked, marks = [], []
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    words = (text or "").split()
+                    words = words_of(text)
                     n = max(1, -(-len(words) // WINDOW_WORDS))
                     keep = [k for k in range(n) if h(f"{doc} {k}") % SHARE == 0] or [h(f"{doc}") % n]
                     for k in keep:
-                        texts.append(" ".join(words[k * WINDOW_WORDS : (k + 1) * WINDOW_WORDS]))
+                        picked.append(words[k * WINDOW_WORDS : (k + 1) * WINDOW_WORDS])
                         marks.append((k == 0, k == n - 1))
-                ids, at = enc.encode_batch(texts)
-                ids = ids.astype(np.int32)
-                rows = [np.concatenate([[begin] if a else ids[x : x + 0], ids[x:y], [end] if z else ids[x : x + 0]]).astype(np.int32) for (a, z), x, y in zip(marks, at[:-1].tolist(), at[1:].tolist())]
+                ids, per_word = store.ids(store.codes(list(chain.from_iterable(picked))))
+                upto = np.concatenate([[0], np.cumsum(per_word)])
+                at = upto[np.concatenate([[0], np.cumsum(np.fromiter(map(len, picked), np.int64, len(picked)))])]
+                rows = [np.concatenate([[begin] * a, ids[x:y], [end] * z]) for (a, z), x, y in zip(marks, at[:-1].tolist(), at[1:].tolist())]
                 ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows), pa.int32()))], ["ids"])
 
@@ -194,6 +199,65 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray,
     return word[order], n[order]
 
 
+class WordStore:
+    """What a worker knows of each word: its hash, log10 of its count plus 0.5 if frequent, and its subword ids.
+
+    Ids are the vocabulary's greedy longest matches in the word's pre-tokens. STORED words are kept.
+    """
+
+    def __init__(self, enc: bpe.SpeculativeBPE, known: np.ndarray, value: np.ndarray):
+        self.enc, self.known, self.value = enc, known, value
+        self.code: dict[bytes, int] = {}
+        self.key, self.logs, self.hit = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool)
+        self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _learn(self, new: list[bytes]) -> None:
+        h, find, split = xxhash.xxh64_intdigest, self.enc.find, self.enc.proposed
+        key = np.array([h(w) for w in new], np.uint64)
+        hit, logs = np.zeros(len(key), bool), np.zeros(len(key))
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
+            hit = self.known[at] == key
+            logs = np.where(hit, self.value[at], 0.0)
+        ids = [[t for p in find(w.decode("utf-8").lower()) for t in split(p.encode("utf-8"))] for w in new]
+        length = np.fromiter(map(len, ids), np.int32, len(ids))
+        start = len(self.flat) + np.cumsum(length, dtype=np.int64) - length
+        more = (key, logs, hit, start, length, np.fromiter(chain.from_iterable(ids), np.int32, int(length.sum())))
+        self.key, self.logs, self.hit, self.start, self.length, self.flat = (np.concatenate(x) for x in zip((self.key, self.logs, self.hit, self.start, self.length, self.flat), more))
+        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
+
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        if len(self.code) > STORED:
+            self.__init__(self.enc, self.known, self.value)
+        found = list(map(self.code.get, words))
+        if None in found:
+            self._learn(list(dict.fromkeys(w for w, c in zip(words, found) if c is None)))
+            found = list(map(self.code.__getitem__, words))
+        return np.array(found, np.int64)
+
+    def ids(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All subword ids, and the number of ids of each word."""
+        n = self.length[code].astype(np.int64)
+        ends = np.cumsum(n)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[code] - (ends - n), n)
+        return self.flat[at].astype(np.int64), n
+
+
+def with_ends(ids: np.ndarray, per_word: np.ndarray, words: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets and lengths of texts: a begin before and an end after each text's ids."""
+    upto = np.concatenate([[0], np.cumsum(per_word)])
+    off = upto[np.concatenate([[0], np.cumsum(words)])]
+    return np.insert(ids, off[:-1], begin), np.insert(ids, off[1:], end), np.diff(off) + 1
+
+
+def store_of(blob: bytes, known: np.ndarray, value: np.ndarray) -> WordStore:
+    """One store a worker process for each vocabulary and table of frequent words."""
+    mark = (hash(blob), len(known), hash(known.tobytes()), hash(value.tobytes()))
+    if _STORES.get("mark") != mark:
+        _STORES.update(mark=mark, store=WordStore(bpe.opened(blob), known, value))
+    return _STORES["store"]
+
+
 def scored(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
@@ -214,31 +278,23 @@ def scored(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, v, known, known_n = model.value
-        value = np.log10(known_n + 0.5)
-        enc = bpe.opened(blob.value)
-        h = xxhash.xxh64_intdigest
+        words = store_of(blob.value, known, np.log10(known_n + 0.5))
         for batch in batches:
             for i, j in slices(batch, "text"):
                 part = batch.slice(i, j - i)
                 texts = part.column("text").to_pylist()
                 rows = [words_of(t) for t in texts]
                 size = np.fromiter(map(len, rows), np.int64, len(rows))
-                seen_here: dict[bytes, int] = {}
-                code = np.fromiter((seen_here.setdefault(w, len(seen_here)) for r in rows for w in r), np.int64, int(size.sum()))
-                key = np.array([h(w) for w in seen_here], np.uint64)
-                at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
-                hit = (known[at] == key) if len(known) else np.zeros(len(key), bool)
-                logs = np.where(hit, value[at], 0.0) if len(known) else np.zeros(len(key))
+                code = words.codes(list(chain.from_iterable(rows)))
+                logs, hit = words.logs[code], words.hit[code]
                 doc = np.repeat(np.arange(len(rows)), size)
-                base = np.bincount(doc, weights=logs[code], minlength=len(rows)) - floor * (size + 1) + math.log10(n_docs + 0.5)
-                n_known = np.bincount(doc, weights=hit[code], minlength=len(rows)).astype(np.int64) + (n_docs > 0)
-                rare = ~hit[code]
+                base = np.bincount(doc, weights=logs, minlength=len(rows)) - floor * (size + 1) + math.log10(n_docs + 0.5)
+                n_known = np.bincount(doc, weights=hit, minlength=len(rows)).astype(np.int64) + (n_docs > 0)
+                rare = ~hit
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(rows)))])
-                rare_words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[code[rare]].view(np.int64)))
-                ids, off = enc.encode_batch(texts)
+                rare_words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words.key[code[rare]].view(np.int64)))
                 n = len(texts)
-                inputs, targets = np.insert(ids.astype(np.int64), off[:-1], begin), np.insert(ids.astype(np.int64), off[1:], end)
-                lengths = np.diff(off) + 1
+                inputs, targets, lengths = with_ends(*words.ids(code), size, begin, end)
                 lp = attention.log_probs(p, v, inputs, targets, lengths)
                 score = np.bincount(np.repeat(np.arange(n), lengths), weights=lp, minlength=n) / math.log(10)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size + 1), pa.array(n_known), pa.array(base), pa.array(score), rare_words], ["doc_id", "n_tokens", "n_known", "base", "score", "rare"])
