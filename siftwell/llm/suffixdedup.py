@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,8 +105,22 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return d, at - offsets[:-1][d], gram[at], around
 
 
+def repeated_here(anchor: np.ndarray, around: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Whether a row of the same anchor and surroundings, among these, comes earlier in the corpus."""
+    order = np.lexsort([pos, doc, around, anchor])
+    again = np.zeros(len(order), bool)
+    a, b = order[1:], order[:-1]
+    again[a] = (anchor[a] == anchor[b]) & (around[a] == around[b])
+    return again
+
+
 def anchor_table(docs: DataFrame) -> DataFrame:
-    """anchor, around, doc_id, pos, left, right: every anchor and how far its surroundings reach."""
+    """anchor, around, doc_id, place (position, reach to the left and right) and done of every anchor.
+
+    done: the same surroundings stand earlier in the same slice of the input, so the row is settled
+    and takes no part in the comparison; its anchor is a number that only deals it out evenly. So a
+    frequent line or a text repeated in itself is summed up before the shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,9 +129,13 @@ def anchor_table(docs: DataFrame) -> DataFrame:
                 data, offsets = joined_bytes(part.column("text"))
                 d, pos, anchor, around = anchors(data, offsets)
                 left, right = np.minimum(pos, LEFT), np.minimum(np.diff(offsets)[d] - pos, MIN_BYTES)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(around.view(np.int64)), part.column("doc_id").take(pa.array(d)), pa.array((pos << 16) | (left << 8) | right)], ["anchor", "around", "doc_id", "place"])
+                doc = part.column("doc_id").take(pa.array(d))
+                done = repeated_here(anchor, around, doc.to_numpy(zero_copy_only=False), pos) & (left + right >= MIN_BYTES)
+                with np.errstate(over="ignore"):
+                    anchor = np.where(done, _mixed(anchor + _BASE * np.arange(1, len(anchor) + 1, dtype=np.uint64)), anchor)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(around.view(np.int64)), doc, pa.array((pos << 16) | (left << 8) | right), pa.array(done)], ["anchor", "around", "doc_id", "place", "done"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, around long, doc_id long, place long")
+    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, around long, doc_id long, place long, done boolean")
 
 
 def settled(table: DataFrame) -> DataFrame:
@@ -130,6 +149,10 @@ def settled(table: DataFrame) -> DataFrame:
         head: tuple[int, int, int] | None = None  # the first row of the anchor that a batch ended in, until it is sent
         last: tuple[int, int] | None = None
         for batch in batches:
+            done = batch.filter(batch.column("done"))
+            if done.num_rows:
+                yield pa.RecordBatch.from_arrays([done.column("doc_id"), done.column("place"), pa.nulls(done.num_rows, pa.int64())], ["doc_id", "place", "anchor"])
+                batch = batch.filter(pc.invert(batch.column("done")))
             anchor, around, doc, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in cols)
             n = len(anchor)
             if not n:
@@ -155,7 +178,7 @@ def settled(table: DataFrame) -> DataFrame:
             doc_o, place_o, anchor_o, null = (np.concatenate(x) for x in zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(doc_o), pa.array(place_o), pa.array(anchor_o, mask=null)], ["doc_id", "place", "anchor"])
 
-    ordered = table.repartition("anchor").sortWithinPartitions("anchor", "around", "doc_id", "place")
+    ordered = table.repartition("anchor").sortWithinPartitions("done", "anchor", "around", "doc_id", "place")
     return ordered.mapInArrow(run, "doc_id long, place long, anchor long")
 
 
