@@ -11,6 +11,7 @@ Strings of the two special tokens in a text become those tokens, as in the token
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from siftwell.llm.common import slices
 
 #: Distinct words, and distinct pre-tokens, that a worker keeps; a store beyond it is emptied and filled anew.
-WORD_STORE = 600_000
+WORD_STORE, PIECE_STORE = 1_000_000, 600_000
 _NEVER = 1 << 40
 _OPEN = {}
 
@@ -231,7 +232,7 @@ class SpeculativeBPE:
     def _learn(self, words: list[str | int]) -> None:
         """Store the ids of words as they stand between white space; an int is a special token's id."""
         parts = [None if isinstance(w, int) else self.find(w) for w in words]
-        if len(self.pieces) > WORD_STORE:
+        if len(self.pieces) > PIECE_STORE:
             self.pieces = {}
         pieces = self.pieces
         new = list(dict.fromkeys(p for ps in parts if ps for p in ps if p not in pieces))
@@ -278,9 +279,14 @@ class SpeculativeBPE:
         counts = np.fromiter(map(len, split), np.int64, len(split))
         listed = list(chain.from_iterable(split))
         found = list(map(self.codes.get, listed))
-        if None in found:
-            self._learn(list(dict.fromkeys(w for w, c in zip(listed, found) if c is None)))
-            found = list(map(self.codes.__getitem__, listed))
+        if missing := [i for i, c in enumerate(found) if c is None]:
+            gc.disable()  # a hundred thousand new lists and no cycles: collections would only walk the stores
+            try:
+                self._learn(list(dict.fromkeys(listed[i] for i in missing)))
+            finally:
+                gc.enable()
+            for i in missing:
+                found[i] = self.codes[listed[i]]
         return np.array(found, np.int64), counts
 
     def ids_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -304,12 +310,36 @@ class SpeculativeBPE:
         return " ".join([text[i] for i in ids])
 
 
-def opened(blob: bytes) -> SpeculativeBPE:
+class LibraryBPE(SpeculativeBPE):
+    """The same stores and ids, with new words encoded by the tokenizers library itself."""
+
+    def __init__(self, blob: bytes):
+        from tokenizers import Tokenizer
+
+        super().__init__(blob)
+        self.library = Tokenizer.from_str(blob.decode("utf-8"))
+        self.closes = np.array([t.endswith(self.suffix) for t in self.text], bool)
+
+    def split_words(self, words: list[str]) -> list[list[int]]:
+        """Words go to the library in lines; each ends with its one token that closes a word."""
+        out: list[list[int]] = []
+        lines = [words[a : a + 512] for a in range(0, len(words), 512)]
+        for line, e in zip(lines, self.library.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+            ids = e.ids
+            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            if len(ends) == len(line) and unicodedata.is_normalized("NFC", " ".join(line)):
+                out += [ids[a:b] for a, b in zip([0, *ends], ends)]
+            else:  # lower-casing undid the normal form, or a character that the library splits at and we don't
+                out += super().split_words(line)
+        return out
+
+
+def opened(blob: bytes, kind: type[SpeculativeBPE] = SpeculativeBPE) -> SpeculativeBPE:
     """One encoder a worker process for each vocabulary."""
-    key = hashlib.md5(blob).digest()
+    key = (kind.__name__, hashlib.md5(blob).digest())
     if key not in _OPEN:
         _OPEN.clear()
-        _OPEN[key] = SpeculativeBPE(blob)
+        _OPEN[key] = kind(blob)
     return _OPEN[key]
 
 

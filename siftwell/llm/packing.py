@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
     blob = bpe.vocabulary(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = bpe.opened(blob.value)
+        enc = bpe.opened(blob.value, bpe.LibraryBPE)
         for batch in batches:
             for i, j in slices(batch, "text"):
                 part = batch.slice(i, j - i)
