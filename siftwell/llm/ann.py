@@ -8,7 +8,7 @@ lists whose centroids are within a distance ratio of its nearest one. Lists that
 are cut into parts, which are searched apart, so no task holds an unbounded list.
 
 Inner products become distances by one more coordinate that gives all vectors the same length.
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose
+Rows without an id, and vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose
 length isn't the most common one. Ties go to the smaller id; repeated vectors are rows of their
 own. An empty table gives no rows. Only the id and the vector are read, so other columns can't clash.
 """
@@ -170,7 +170,7 @@ def indexed(vectors: DataFrame, centroids) -> DataFrame:
 def nearest(df: DataFrame, id_column: str, vector_column: str, is_query: Column, k: int = NEAREST) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for every query row, itself left out."""
     spark = df.sparkSession
-    vectors = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query")).where(usable(F.col("v")))
+    vectors = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query")).where(F.col("id").isNotNull() & usable(F.col("v")))
     sizes = vectors.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("lift")).orderBy(F.desc("n"), "dims").limit(1).collect()
     dims, total, lift = sizes[0] if sizes else (1, 0, 1.0)
     vectors = vectors.where(F.size("v") == dims)

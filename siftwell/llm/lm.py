@@ -11,7 +11,8 @@ Words are told apart by their 64-bit hash.
 
 A null text counts as empty and has its end token alone. Texts of any length are scored whole.
 An empty table gives no rows; without learning rows all counts are 0 and the model is as it
-starts. Only doc_id and text are read, so other columns can't clash. Repeated rows count each time.
+starts. Only doc_id and text are read, so other columns can't clash. Repeated rows count each time; a row without doc_id is a
+learning row.
 """
 
 from __future__ import annotations
@@ -299,10 +300,10 @@ def scored(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
                 score = np.bincount(np.repeat(np.arange(n), lengths), weights=lp, minlength=n) / math.log(10)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size + 1), pa.array(n_known), pa.array(base), pa.array(score), rare_words], ["doc_id", "n_tokens", "n_known", "base", "score", "rare"])
 
-    rows = staged(docs.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>"), "scores")
-    rare = rows.select("doc_id", F.explode("rare").alias("word")).join(counts, "word", "left")
-    sums = rare.groupBy("doc_id").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.count("n").alias("found"))
-    out = rows.drop("rare").join(sums, "doc_id", "left")
+    rows = staged(docs.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>").withColumn("row", F.monotonically_increasing_id()), "scores")
+    rare = rows.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
+    sums = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.count("n").alias("found"))
+    out = rows.drop("rare").join(sums, "row", "left")
     return out.select(
         "doc_id",
         (F.coalesce(fold("doc_id", FOLDS), F.lit(0)) == HELD_OUT).alias("held_out"),

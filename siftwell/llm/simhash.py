@@ -12,7 +12,8 @@ A bucket's members are linked by a spanning forest, never by all pairs.
 
 Texts without words (null and empty ones too) have fingerprint zero and link like any other.
 Texts of any length are hashed whole. An empty table gives no rows. Only doc_id and text are
-read, so other columns can't clash. Ties: a component's id is its smallest doc_id.
+read, so other columns can't clash. Ties: a component's id is its smallest doc_id; rows without
+doc_id get that of an equal fingerprint, or none.
 """
 
 from __future__ import annotations
@@ -184,7 +185,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every document."""
     prints = staged(fingerprints(docs), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    reps = components(links(distinct))
+    reps = components(links(distinct.where("rep is not null")))
     found = distinct.join(reps, distinct["rep"] == reps["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(found, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")

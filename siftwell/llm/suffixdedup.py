@@ -17,7 +17,8 @@ MIN_BYTES. Depths rise one at a time and end at MIN_BYTES - K; single rows stop.
 Null and empty texts have no bytes and nothing removed. Texts shorter than MIN_BYTES lose nothing.
 Very long texts are handled whole, in slices of vectorised work. Equal texts keep the first. An
 empty table gives no rows. Only doc_id and text are read, so other columns can't clash. doc_id is
-taken to be unique; rows that repeat one would lose each other's repeats too.
+taken to be unique; rows that repeat one would lose each other's repeats too. A row without doc_id
+neither loses bytes nor counts as an earlier place.
 """
 
 from __future__ import annotations
@@ -135,7 +136,7 @@ def anchor_table(docs: DataFrame) -> DataFrame:
                     anchor = np.where(done, _mixed(anchor + _BASE * np.arange(1, len(anchor) + 1, dtype=np.uint64)), anchor)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(around.view(np.int64)), doc, pa.array((pos << 16) | (left << 8) | right), pa.array(done)], ["anchor", "around", "doc_id", "place", "done"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, around long, doc_id long, place long, done boolean")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "anchor long, around long, doc_id long, place long, done boolean")
 
 
 def settled(table: DataFrame) -> DataFrame:
