@@ -19,7 +19,8 @@ def sessions(events: DataFrame, time: str = "ts", by: list[str] = (), gap: str =
     df = events.withColumn("_t", F.col(time).cast("timestamp"))
     if events.isStreaming:
         df = df.withWatermark("_t", late)
-    out = df.groupBy(F.session_window("_t", gap), *by).agg(F.count(F.lit(1)).alias("n_events"), *([F.max(watch_relevant("path")).alias("fires")] if "path" in events.columns else []))
+    key = list(by) or [F.col("_t").isNotNull().alias("_any")]  # streams want a key besides the window
+    out = df.groupBy(F.session_window("_t", gap), *key).agg(F.count(F.lit(1)).alias("n_events"), *([F.max(watch_relevant("path")).alias("fires")] if "path" in events.columns else []))
     return out.select(*by, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *[c for c in out.columns if c in ("n_events", "fires")])
 
 
