@@ -35,6 +35,8 @@ SEED = 42
 SEGMENTS, SEGMENT_BITS = 4, 16
 #: Rows of a bucket that are compared at once.
 BLOCK = 2048
+#: Tasks that the rows of one fingerprint are dealt to.
+SALTS = 8
 #: Shingles whose bits are counted at once.
 COUNT_BLOCK = 1 << 16
 
@@ -188,4 +190,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = components(links(distinct.where("rep is not null")))
     found = distinct.join(reps, distinct["rep"] == reps["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(found, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    # a fingerprint may be that of a third of all rows: its rows go to SALTS tasks
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return dealt.join(found, ["fp", "salt"]).select("doc_id", hexed.alias("fingerprint"), "component_id")
