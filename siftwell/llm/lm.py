@@ -17,6 +17,7 @@ learning row.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -231,9 +232,14 @@ class WordStore:
         if len(self.code) > STORED:
             self.__init__(self.enc, self.known, self.value)
         found = list(map(self.code.get, words))
-        if None in found:
-            self._learn(list(dict.fromkeys(w for w, c in zip(words, found) if c is None)))
-            found = list(map(self.code.__getitem__, words))
+        if missing := [i for i, c in enumerate(found) if c is None]:
+            gc.disable()  # many new lists and no cycles: collections would only walk the store
+            try:
+                self._learn(list(dict.fromkeys(words[i] for i in missing)))
+            finally:
+                gc.enable()
+            for i in missing:
+                found[i] = self.code[words[i]]
         return np.array(found, np.int64)
 
     def ids(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
