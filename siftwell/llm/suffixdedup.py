@@ -12,7 +12,9 @@ sorted with their common prefixes, and the bytes that precede them in that order
 transform's column. Starting from the anchors' intervals, extension goes backward breadth-first: at
 depth l every interval is split by the preceding byte, so its rows share l bytes to the left and
 their common prefix to the right; a repeat is an interval whose l plus common prefix reaches
-MIN_BYTES. Depths rise one at a time and end at MIN_BYTES - K; single rows stop.
+MIN_BYTES. Depths rise one at a time and end at MIN_BYTES - K; single rows stop. An anchor with
+more than HOT_ROWS such rows (a passage that very many documents share) is not sorted in one task:
+its strings are hashed whole, settled within each slice, and compared by hash over all tasks.
 
 Null and empty texts have no bytes and nothing removed. Texts shorter than MIN_BYTES lose nothing.
 Very long texts are handled whole, in slices of vectorised work. Equal texts keep the first. An
@@ -30,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import joined_bytes, released, slices, staged
@@ -39,6 +42,10 @@ K = 32
 LEFT = MIN_BYTES - K
 #: Rows whose suffixes are sorted together; whole anchors only.
 BLOCK_ROWS = 1 << 15
+#: An anchor with more rows to compare is not sorted in one task; its windows are compared by hash.
+HOT_ROWS = 1 << 15
+#: Hot anchors up to this number are broadcast (8 bytes each); more are joined by a shuffle.
+HOT_BROADCAST = 1 << 20
 #: Text whose anchors are found at once; about a hundred bytes of working memory a byte.
 ANCHOR_BYTES = 1 << 19
 
@@ -296,12 +303,71 @@ def repeats(around: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "doc_id long, start long, end long")
 
 
+def window_hashes(anchor: np.ndarray, left: np.ndarray, right: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, l, hash) of every MIN_BYTES string that holds a row's anchor and starts l bytes before it."""
+    low, high = np.maximum(0, MIN_BYTES - right), np.minimum(left, LEFT)
+    n = np.maximum(0, high - low + 1)
+    row = np.repeat(np.arange(len(n)), n)
+    depth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
+    start = offsets[:-1][row] + left[row] - depth
+    up, down = _powers(len(data) + 1)
+    with np.errstate(over="ignore"):
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_HASH[data] * up[: len(data)], dtype=np.uint64)])
+        h = (prefix[start + MIN_BYTES] - prefix[start]) * down[start]
+        return row, depth, _mixed(h ^ _mixed(anchor[row].view(np.uint64) + depth.astype(np.uint64)))
+
+
+def frequent_repeats(around: DataFrame) -> DataFrame:
+    """doc_id, start, end of repeated strings of hot anchors, whose rows may be a large part of all.
+
+    Every string of MIN_BYTES bytes goes by its hash, so an anchor's rows are spread over tasks. Equal
+    strings of one slice are settled before the shuffle: a string of any frequency leaves a slice once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in slices(batch, "bytes", ANCHOR_BYTES):
+                part = batch.slice(i, j - i)
+                anchor, doc, place = (part.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "doc_id", "place"))
+                data, offsets = joined_bytes(part.column("bytes"))
+                row, depth, key = window_hashes(anchor, place >> 8 & 255, place & 255, data, offsets)
+                doc, start = doc[row], (place >> 16)[row] - depth
+                again = repeated_here(np.zeros(len(key), np.uint8), key, doc, start)
+                # a row's repeats overlap in its anchor, so they are one run
+                hit, lo, hi = row[again], np.full(len(part), MIN_BYTES), np.full(len(part), -1)
+                np.minimum.at(lo, hit, depth[again])
+                np.maximum.at(hi, hit, depth[again])
+                met = np.flatnonzero(hi >= 0)
+                first = ~again
+                key = pa.array(np.concatenate([key[first].view(np.int64), np.zeros(len(met), np.int64)]), mask=np.arange(int(first.sum()) + len(met)) >= int(first.sum()))
+                docs = part.column("doc_id").take(pa.array(np.concatenate([row[first], met])))
+                a = np.concatenate([start[first], (place >> 16)[met] - hi[met]])
+                b = np.concatenate([start[first] + MIN_BYTES, (place >> 16)[met] - lo[met] + MIN_BYTES])
+                yield pa.RecordBatch.from_arrays([key, docs, pa.array(a), pa.array(b)], ["key", "doc_id", "start", "end"])
+
+    rows = staged(around.mapInArrow(run, "key long, doc_id long, start long, end long"), "windows")
+    earlier = W.partitionBy("key").orderBy("doc_id", "start")
+    again = rows.where("key is not null").withColumn("n", F.row_number().over(earlier)).where("n > 1")
+    return rows.where("key is null").drop("key").unionByName(again.drop("key", "n"))
+
+
+def compared_bytes(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, start, end of the repeats among rows (doc_id, place, anchor) whose surroundings differ."""
+    hot = staged(rows.groupBy("anchor").count().where(F.col("count") > HOT_ROWS).select("anchor"), "hot")
+    n = hot.count()
+    if not n:
+        return repeats(surroundings(docs, rows))
+    hot = F.broadcast(hot) if n <= HOT_BROADCAST else hot
+    rest = repeats(surroundings(docs, rows.join(hot, "anchor", "left_anti")))
+    return rest.unionByName(frequent_repeats(surroundings(docs, rows.join(hot, "anchor", "left_semi"))))
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, spans ARRAY<LONG> (start << 16 | length): what to remove, not yet merged."""
     spark = docs.sparkSession
     found = staged(settled(anchor_table(docs)), "anchors")
     released(spark)
-    compared = staged(repeats(surroundings(docs, found.where("anchor is not null"))), "repeats")
+    compared = staged(compared_bytes(docs, found.where("anchor is not null")), "repeats")
     released(spark)
     whole = found.where("anchor is null").select("doc_id", (F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(255)).alias("start"), (F.shiftright("place", 16) + F.col("place").bitwiseAND(255)).alias("end"))
     both = whole.unionByName(compared).select("doc_id", F.shiftleft("start", 16).bitwiseOR(F.col("end") - F.col("start")).alias("span"))

@@ -272,7 +272,9 @@ def brute_repeats(rows):
     return out
 
 
-def test_suffix_dedup(spark):
+@pytest.mark.parametrize("hot", [suffixdedup.HOT_ROWS, 4])
+def test_suffix_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixdedup, "HOT_ROWS", hot)
     rng = random.Random(0)
     base = ["".join(rng.choice("abc") for _ in range(400)) for _ in range(4)]
     rows = []
