@@ -1,4 +1,4 @@
-"""Chunk extraction: line windows, markdown sections, header comments, Python symbols and calls."""
+"""Chunk extraction: line windows, markdown sections, header comments, symbols and calls."""
 
 from __future__ import annotations
 
@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftwell.operators import braces
+from siftwell.operators.braces import CHUNK
 from siftwell.operators.lines import line_array
 
 LEXICAL_WINDOW, VECTOR_WINDOW = (150, 135), (50, 40)
 SYMBOL_LINES, SYMBOL_STEP, HEADER_LINES = 80, 65, 30
 HEADER_MARKS = {"rs": "//", "ts": "//", "tsx": "//", "js": "//", "jsx": "//", "go": "//", "java": "//", "py": "#", "nix": "#", "sh": "#"}
-CHUNK = "path string, start long, end long, kind string, breadcrumb string, text string"
 
 
 def window_starts(n: Column, size: int, step: int) -> Column:
@@ -109,6 +110,16 @@ def python_symbols(files: DataFrame) -> DataFrame:
     return files.where(F.col("path").endswith(".py")).select("path", "content").mapInPandas(run, CHUNK)
 
 
+def code_symbols(files: DataFrame) -> DataFrame:
+    """Symbols of all languages that have an extractor."""
+    return python_symbols(files).unionByName(braces.symbols(files))
+
+
+def code_calls(files: DataFrame) -> DataFrame:
+    """path, caller, callee of calls in Python and Rust files."""
+    return python_calls(files).unionByName(braces.rust_calls(files))
+
+
 def split_oversized(chunks: DataFrame) -> DataFrame:
     """Symbols of more than SYMBOL_LINES + 1 lines become overlapping parts marked ` [i/n]`."""
     span = F.col("end") - F.col("start") + 1
@@ -125,7 +136,7 @@ def split_oversized(chunks: DataFrame) -> DataFrame:
 def extract(files: DataFrame, size: int = LEXICAL_WINDOW[0], step: int = LEXICAL_WINDOW[1]) -> DataFrame:
     """All chunks of readable files, by extension."""
     md = F.lower("path").rlike(r"\.(md|markdown)$")
-    symbols = python_symbols(files)
+    symbols = code_symbols(files)
     rest = files.where(~md).join(symbols.select("path").distinct(), "path", "left_anti")
     return split_oversized(symbols).unionByName(sections(files.where(md))).unionByName(windows(rest, size, step)).unionByName(headers(files))
 

@@ -51,6 +51,53 @@ Copies of the vault leave the building weekly.
 """
 
 
+DOOR = '''pub struct Door { open: bool }
+
+impl Door {
+    pub fn knock(&self) -> bool {
+        log("knock {");
+        answer(self.open)
+    }
+}
+
+fn answer(open: bool) -> bool { open }
+'''
+LIFT = '''export class Lift {
+  up(floor: number) { return `${floor}}`; }
+}
+
+export async function call(lift: Lift) {
+  function wait() {}
+  return wait();
+}
+
+type Floor = "low" | "high";
+'''
+HALL = """package hall
+
+type (
+	Hall struct {
+		seats int
+	}
+)
+
+func (h *Hall) Seats() int {
+	return h.seats
+}
+"""
+STAIR = """public class Stair {
+  @Override
+  public String name(int step) { return "}"; }
+  enum Side { LEFT, RIGHT }
+}
+"""
+
+
+def building(spark: SparkSession) -> DataFrame:
+    """path, content: one source file in each of four languages with braces."""
+    return spark.createDataFrame([("src/door.rs", DOOR), ("src/lift.ts", LIFT), ("src/hall.go", HALL), ("src/Stair.java", STAIR)], "path string, content string")
+
+
 def workspace(spark: SparkSession) -> DataFrame:
     """path, content: two source files and one document."""
     return spark.createDataFrame([("src/auth.py", AUTH), ("src/router.py", ROUTER), ("docs/secrets.md", SECRETS)], "path string, content string")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
-from siftwell.operators import chains, chunking, evaluation, fusion, lexical, lines, mining, skills, sync, vectors
+from siftwell.operators import braces, chains, chunking, evaluation, fusion, lexical, lines, mining, skills, sync, vectors
 from siftwell.plans import fixtures
 from siftwell.sources import workspace
 from siftwell.streaming import watch
@@ -130,18 +130,23 @@ def symbols_python(spark, sf):
     return chunking.split_oversized(chunking.python_symbols(fixtures.workspace(spark)))
 
 
+@query()
+def symbols_braces(spark, sf):
+    return chunking.split_oversized(braces.symbols(fixtures.building(spark)))
+
+
 @query()
 def call_resolution(spark, sf):
-    f = fixtures.workspace(spark)
-    symbols = chunking.python_symbols(f).select("path", T.simple_name("breadcrumb").alias("name"))
-    return chains.resolve(chunking.python_calls(f), symbols)
+    f = fixtures.workspace(spark).unionByName(fixtures.building(spark))
+    symbols = chunking.code_symbols(f).select("path", T.simple_name("breadcrumb").alias("name"))
+    return chains.resolve(chunking.code_calls(f), symbols)
 
 
 @query()
 def chain_chunks(spark, sf):
     f = fixtures.workspace(spark)
-    chunks = chunking.python_symbols(f)
-    resolved = chains.resolve(chunking.python_calls(f), chunks.select("path", T.simple_name("breadcrumb").alias("name")))
+    chunks = chunking.code_symbols(f)
+    resolved = chains.resolve(chunking.code_calls(f), chunks.select("path", T.simple_name("breadcrumb").alias("name")))
     return chains.chain_chunks(resolved, chunks)
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
-from siftwell.operators import chunking, evaluation, fusion, lexical, lines, rerank, skills, sync, vectors
+from siftwell.operators import braces, chunking, evaluation, fusion, lexical, lines, rerank, skills, sync, vectors
 from siftwell.plans import fixtures
 from siftwell.sources import workspace
 from siftwell.streaming import watch
@@ -75,6 +75,32 @@ def test_symbols_and_header(spark):
     assert [(r.path, r.start, r.end) for r in h] == [("src/auth.py", 1, 2)]
 
 
+def test_symbols_and_calls_of_brace_languages(spark):
+    f = fixtures.building(spark)
+    got = {(r.path, r.breadcrumb): (r.start, r.end) for r in braces.symbols(f).collect()}
+    assert got == {
+        ("src/door.rs", "Door"): (1, 1),
+        ("src/door.rs", "impl Door"): (3, 8),
+        ("src/door.rs", "impl Door > knock"): (4, 7),
+        ("src/door.rs", "answer"): (10, 10),
+        ("src/lift.ts", "Lift"): (1, 3),
+        ("src/lift.ts", "call"): (5, 8),
+        ("src/lift.ts", "call > wait"): (6, 6),
+        ("src/lift.ts", "Floor"): (10, 10),
+        ("src/hall.go", "Hall"): (4, 6),
+        ("src/hall.go", "Seats"): (9, 11),
+        ("src/Stair.java", "Stair"): (1, 5),
+        ("src/Stair.java", "Stair > name"): (2, 3),
+        ("src/Stair.java", "Stair > Side"): (4, 4),
+    }
+    calls = {(r.caller, r.callee) for r in braces.rust_calls(f).collect()}
+    assert calls == {("impl Door > knock", "log"), ("impl Door > knock", "answer")}
+    assert braces.declarations("fn a() {", "rust") == braces.declarations("", "go") == []
+    assert {r.kind for r in chunking.extract(f).collect()} == {"symbol"}
+    broken = spark.createDataFrame([("a.rs", "fn a() {"), ("b.rs", None)], "path string, content string")
+    assert [(r.path, r.kind) for r in chunking.extract(broken).collect()] == [("a.rs", "window")]
+
+
 def test_oversized(spark):
     df = spark.createDataFrame([("a", 1, 102, "symbol", "f", "\n".join("x" * 102)), ("a", 1, 81, "symbol", "g", "\n".join("x" * 81))], chunking.CHUNK)
     rows = [(r.breadcrumb, r.start, r.end) for r in chunking.split_oversized(df).orderBy("breadcrumb").collect()]
