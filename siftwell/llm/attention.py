@@ -188,7 +188,7 @@ def trained(p: dict[str, np.ndarray], vocab: Vocabulary, windows: list[np.ndarra
     p = {k: v.copy() for k, v in p.items()}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     step, total = 0, 0.0
-    passes = max(1, -(-least_steps * batch // max(1, len(windows))))
+    passes = max(1, -(-least_steps // max(1, -(-len(windows) // batch))))
     count = max(1, passes * -(-len(windows) // batch))
     for _ in range(passes):
         for a in range(0, len(windows), batch):

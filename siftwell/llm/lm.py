@@ -1,9 +1,9 @@
 """Language-model scores of whole texts, with exact word counts as a base line.
 
 Learning rows are those that fold() leaves in. Words are counted over all of them. The attention
-model learns from windows of WINDOW_WORDS words that a hash picks: a fixed share of every learning
-document and at least one, so what it reads grows with the input. Each task trains from the same
-start on its own windows and the weights are averaged, for ROUNDS rounds.
+model learns from all windows of WINDOW_WORDS words of every learning document, each window in one
+of ROUNDS rounds. In a round each task trains from the same start on its own windows and the weights
+are averaged.
 
 Words that are frequent in the learning rows (at most FREQUENT of them, a fixed size for the
 broadcast) are looked up while texts are scored; all rarer words are counted exactly by a join.
@@ -34,8 +34,7 @@ from siftwell.llm.common import LOWER_AZ, fold, slices, staged
 
 FREQUENT = 1 << 17
 WINDOW_WORDS = 32
-#: One window in so many is learned from.
-SHARE = 32
+#: Averages of weights; each window is learned from in one of them.
 ROUNDS = 2
 RATE = 0.03
 #: Steps that a task makes at least in a round; a task of few windows goes over them again.
@@ -81,7 +80,7 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 def windows(train: DataFrame, vocabulary, begin: int, end: int) -> DataFrame:
-    """ids ARRAY<INT>: the windows that are learned from, with their document's begin or end where they touch it."""
+    """turn INT, ids ARRAY<INT>: all windows and the round they belong to, with their document's begin or end where they touch it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = store_of(vocabulary.value, np.zeros(0, np.uint64), np.zeros(0))
@@ -89,41 +88,64 @@ def windows(train: DataFrame, vocabulary, begin: int, end: int) -> DataFrame:
         for batch in batches:
             for i, j in slices(batch, "text"):
                 part = batch.slice(i, j - i)
-                picked, marks = [], []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    words = words_of(text)
-                    n = max(1, -(-len(words) // WINDOW_WORDS))
-                    keep = [k for k in range(n) if h(f"{doc} {k}") % SHARE == 0] or [h(f"{doc}") % n]
-                    for k in keep:
-                        picked.append(words[k * WINDOW_WORDS : (k + 1) * WINDOW_WORDS])
-                        marks.append((k == 0, k == n - 1))
-                ids, per_word = store.ids(store.codes(list(chain.from_iterable(picked))))
+                rows = [words_of(t) for t in part.column("text").to_pylist()]
+                size = np.fromiter(map(len, rows), np.int64, len(rows))
+                ids, per_word = store.ids(store.codes(list(chain.from_iterable(rows))))
                 upto = np.concatenate([[0], np.cumsum(per_word)])
-                at = upto[np.concatenate([[0], np.cumsum(np.fromiter(map(len, picked), np.int64, len(picked)))])]
-                rows = [np.concatenate([[begin] * a, ids[x:y], [end] * z]) for (a, z), x, y in zip(marks, at[:-1].tolist(), at[1:].tolist())]
-                ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows), pa.int32()))], ["ids"])
+                last = np.cumsum(size)
+                first = last - size
+                n = np.maximum(1, -(-size // WINDOW_WORDS))
+                doc = np.repeat(np.arange(len(rows)), n)
+                k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                cut = np.concatenate([upto[first[doc] + k * WINDOW_WORDS], upto[-1:]])
+                ends = np.concatenate([[0], np.cumsum(np.diff(cut) + (k == 0) + (k == n[doc] - 1))])
+                flat = np.insert(ids, np.stack([upto[first], upto[last]], axis=1).ravel(), np.tile([begin, end], len(rows)))
+                turn = (np.array([h(str(d)) for d in part.column("doc_id").to_pylist()], np.int64)[doc] + k) % ROUNDS
+                yield pa.RecordBatch.from_arrays([pa.array(turn, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], ["turn", "ids"])
+
+    return train.select("doc_id", "text").mapInArrow(run, "turn int, ids array<int>")
+
+
+def flat_ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all windows, and the n + 1 offsets."""
+    lists = batch.column("ids")
+    return np.array(lists.flatten()), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+
 
-    return train.select("doc_id", "text").mapInArrow(run, "ids array<int>")
+def tallied(seen: DataFrame, cells: int, cells_of) -> np.ndarray:
+    """How often each of a fixed number of cells occurs: cells_of gives those of some ids and offsets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(cells, np.int64)
+        for batch in batches:
+            n += np.bincount(cells_of(*flat_ids(batch)), minlength=cells)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
+
+    t = seen.select("ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(cells, np.int64)
+    out[t.column("cell").to_numpy()] = t.column("n").to_numpy()
+    return out
 
 
 def vocabulary_of(seen: DataFrame, size: int) -> attention.Vocabulary:
     """Classes from the windows: ids of like neighbours share a class. At most `size` counts and a fixed table of pairs reach the driver."""
-    counts = np.zeros(size, np.int64)
-    for i, n in seen.select(F.explode("ids").alias("id")).groupBy("id").count().collect():
-        counts[i] = n
+    counts = tallied(seen, size, lambda ids, _: ids)
     order = np.argsort(-counts, kind="stable")
-    frequent, listed = order[:NEIGHBOURS].tolist(), order[:GROUPED]
-    spark = seen.sparkSession
-    rank = spark.createDataFrame([(int(i), k) for k, i in enumerate(listed.tolist()) if counts[i]] or [(-1, 0)], "id int, rank int")
-    pairs = seen.select(F.explode(F.arrays_zip(F.slice("ids", F.lit(1), F.greatest(F.size("ids") - 1, F.lit(0))).alias("a"), F.slice("ids", 2, F.greatest(F.size("ids") - 1, F.lit(0))).alias("b"))).alias("p")).select("p.a", "p.b")
-    table = np.zeros((GROUPED, 2 * NEIGHBOURS), np.float64)
-    place = {int(i): k for k, i in enumerate(listed.tolist())}
-    near = {int(i): k for k, i in enumerate(frequent)}
-    for one, other, side in (("a", "b", 0), ("b", "a", NEIGHBOURS)):
-        known = pairs.where(F.col(other).isin(frequent)).join(F.broadcast(rank), F.col(one) == F.col("id"))
-        for i, o, n in known.groupBy(one, other).count().collect():
-            table[place[i], side + near[o]] += n
+    listed = order[:GROUPED]
+    place, near = np.full(size, -1), np.full(size, -1)
+    place[listed] = np.arange(len(listed))
+    near[order[:NEIGHBOURS]] = np.arange(min(NEIGHBOURS, size))
+
+    def pairs(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        inside = np.ones(max(0, len(ids) - 1), bool)
+        inside[offsets[(offsets > 0) & (offsets < len(ids))] - 1] = False
+        a, b = ids[:-1][inside], ids[1:][inside]
+        cells = [np.where((place[x] >= 0) & (near[y] >= 0), place[x] * 2 * NEIGHBOURS + side + near[y], -1) for x, y, side in ((a, b, 0), (b, a, NEIGHBOURS))]
+        cells = np.concatenate(cells)
+        return cells[cells >= 0]
+
+    table = tallied(seen, GROUPED * 2 * NEIGHBOURS, pairs).reshape(GROUPED, 2 * NEIGHBOURS).astype(np.float64)
     x = np.sqrt((table + 0.05) / (table + 0.05).sum(axis=1, keepdims=True))
     rng = np.random.default_rng(3)
     use = np.flatnonzero(counts[listed] > 0)
@@ -144,9 +166,7 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Iterator
     """Windows of two ids or more, up to about `most` at a time."""
     rows: list[np.ndarray] = []
     for batch in batches:
-        lists = batch.column("ids")
-        at = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-        flat = np.array(lists.flatten())
+        flat, at = flat_ids(batch)
         rows += [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist()) if b - a > 1]
         if len(rows) >= most:
             yield rows
@@ -155,11 +175,11 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Iterator
         yield rows
 
 
-def fitted(seen: DataFrame, vocab: attention.Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+def fitted(seen: DataFrame, vocab: attention.Vocabulary) -> dict[str, np.ndarray]:
     """Weights averaged over tasks that each learn from their own windows. The driver gets one row a weight."""
     sc = seen.sparkSession.sparkContext
     now = attention.fresh(vocab)
-    for r in range(rounds):
+    for r in range(ROUNDS):
         start = sc.broadcast((now, vocab))
         rate = RATE / (r + 1)
 
@@ -175,9 +195,9 @@ def fitted(seen: DataFrame, vocab: attention.Vocabulary, rounds: int = ROUNDS) -
                 w = attention.packed(p).astype(np.float64) * tokens
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w)), pa.int32()), pa.array(w), pa.array(np.full(len(w), float(tokens)))], ["k", "w", "n"])
 
-        sums = seen.mapInArrow(run, "k int, w double, n double").groupBy("k").agg((F.sum("w") / F.sum("n")).alias("w")).collect()
+        sums = seen.where(F.col("turn") == r).select("ids").mapInArrow(run, "k int, w double, n double").groupBy("k").agg((F.sum("w") / F.sum("n")).alias("w")).collect()
         if not sums:
-            break
+            continue
         flat = np.zeros(len(attention.packed(now)), np.float64)
         for k, w in sums:
             flat[k] = w

@@ -198,6 +198,24 @@ def test_lm_base_scores(docs, plain):
         assert got[i].score < 0 and math.isfinite(got[i].score)
 
 
+def window_rows(spark, path):
+    """Texts of 0 to 300 words in one partition, their windows in order, and the ids they must hold."""
+    texts = ["", None, "one", *(" ".join(f"w{i}x{j % 7}" for j in range(n)) for i, n in enumerate((31, 32, 33, 64, 300)))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    blob = bpe.vocabulary(df, path)
+    enc = bpe.SpeculativeBPE(blob.value)
+    store = lm.WordStore(enc, np.zeros(0, np.uint64), np.zeros(0))
+    want = [[enc.size, *store.ids(store.codes(lm.words_of(t)))[0].tolist(), enc.size + 1] for t in texts]
+    return lm.windows(df, blob, enc.size, enc.size + 1), want, enc.size + 2
+
+
+def test_lm_learns_from_all_windows_once(spark):
+    seen, want, _ = window_rows(spark, TOKENIZER)
+    rows = seen.collect()
+    assert [i for r in rows for i in r.ids] == [i for w in want for i in w]
+    assert len(rows) == 3 + 1 + 1 + 2 + 2 + 10 and {r.turn for r in rows} == set(range(lm.ROUNDS))
+
+
 def test_attention_is_a_distribution_and_scores_once():
     rng = np.random.default_rng(3)
     v = attention.Vocabulary(rng.integers(0, 50, 300).astype(float), np.arange(300) % attention.GROUPS)
