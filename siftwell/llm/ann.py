@@ -3,8 +3,8 @@
 Centroids are fitted on a bounded sample: halving along the main direction gives lists of equal
 size, a few rounds of averaging settle them. All rows are indexed: a vector goes to the lists of
 its nearest centroids, found by a beam search over an in-memory graph of centroids, and boundary
-vectors (other centroids not much farther than the nearest) go to several. A query searches the
-lists whose centroids are within a distance ratio of its nearest one. Lists that come out too long
+vectors (other centroids not much farther than the nearest) go to several. A query searches all
+lists whose centroids are within a distance ratio of its nearest one, however many. Lists that come out too long
 are cut into parts, which are searched apart, so no task holds an unbounded list.
 
 Inner products become distances by one more coordinate that gives all vectors the same length.
@@ -29,7 +29,9 @@ from siftwell.llm.common import staged, unit_hash
 SAMPLE, MOST_LISTS = 131_072, 16_384
 LIST_ROWS = 100
 REPLICAS, REPLICA_RATIO = 8, 1.1
-PROBES, PROBE_RATIO = 48, 1.25
+PROBE_RATIO = 1.25
+#: Lists of queries that are sent on at once.
+ASKED_ROWS = 50_000
 DEGREE, BEAM = 24, 64
 #: Rows of a list part at most.
 PART_ROWS = 4096
@@ -119,6 +121,13 @@ class Centroids:
         order = np.argsort(dist, axis=1, kind="stable")[:, :most]
         return np.take_along_axis(ids, order, axis=1), 2 * np.maximum(0.0, np.take_along_axis(dist, order, axis=1) + own[:, None])
 
+    def within(self, x: np.ndarray, ratio: float) -> list[np.ndarray]:
+        """For each lifted vector all centroids at most `ratio` times as far as its nearest one, nearest first."""
+        d = 2 * np.maximum(0.0, self.half - x @ self.c.T + 0.5 * (x**2).sum(axis=1, keepdims=True))
+        order = np.argsort(d, axis=1, kind="stable")
+        near = (d <= ratio**2 * np.maximum(d.min(axis=1, keepdims=True), 1e-12)).sum(axis=1)
+        return [o[:n] for o, n in zip(order, near)]
+
 
 def matrix(col: pa.Array) -> np.ndarray:
     """A list column of equal lengths as rows."""
@@ -152,19 +161,18 @@ def indexed(vectors: DataFrame, centroids) -> DataFrame:
                 keep[:, 0] = True
                 query = part.column("query").to_numpy(zero_copy_only=False)
                 probes: list[list[int] | None] = [None] * len(x)
-                ratios: list[list[float] | None] = [None] * len(x)
                 if query.any():
                     # a query has no further coordinate: any length serves, as only the order of inner products counts
                     norm = np.sqrt((x[query] ** 2).sum(axis=1, keepdims=True))
                     q = np.concatenate([x[query] * np.sqrt(c.lift) / norm, np.zeros((int(query.sum()), 1))], axis=1)
-                    ids, d = c.search(q, PROBES * 2)
-                    for k, i, r in zip(np.flatnonzero(query).tolist(), ids, np.sqrt(d / np.maximum(d[:, :1], 1e-12))):
-                        ok = np.isfinite(r)
-                        probes[k], ratios[k] = i[ok].tolist(), r[ok].tolist()
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), part.column("query"), pa.array([l[k].tolist() for l, k in zip(lists, keep)], pa.list_(pa.int32())), pa.array(probes, pa.list_(pa.int32())), pa.array(ratios, pa.list_(pa.float64()))], ["id", "v", "query", "lists", "probes", "ratios"])
+                    at = np.flatnonzero(query).tolist()
+                    for b in range(0, len(at), 128):
+                        for k, lists_of in zip(at[b : b + 128], c.within(q[b : b + 128], PROBE_RATIO)):
+                            probes[k] = lists_of.tolist()
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), part.column("query"), pa.array([l[k].tolist() for l, k in zip(lists, keep)], pa.list_(pa.int32())), pa.array(probes, pa.list_(pa.int32()))], ["id", "v", "query", "lists", "probes"])
 
     kind = vectors.schema["v"].dataType.simpleString()
-    return vectors.mapInArrow(run, f"id long, v {kind}, query boolean, lists array<int>, probes array<int>, ratios array<double>")
+    return vectors.mapInArrow(run, f"id long, v {kind}, query boolean, lists array<int>, probes array<int>")
 
 
 def nearest(df: DataFrame, id_column: str, vector_column: str, is_query: Column, k: int = NEAREST) -> DataFrame:
@@ -190,24 +198,31 @@ def nearest(df: DataFrame, id_column: str, vector_column: str, is_query: Column,
         n_parts, own = parts.value
         for batch in batches:
             at, lists, part = [], [], []
-            for i, (probes, ratios) in enumerate(zip(batch.column("probes").to_pylist(), batch.column("ratios").to_pylist())):
+
+            def out() -> pa.RecordBatch:
+                index = pa.array(at, pa.int64())
+                made = pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(part, pa.int32()), pa.array(np.ones(len(at), np.int32)), batch.column("id").take(index), batch.column("v").take(index)], ["list", "part", "kind", "id", "v"])
+                for x in (at, lists, part):
+                    x.clear()
+                return made
+
+            for i, probes in enumerate(batch.column("probes").to_pylist()):
                 have = 0
-                every = n_lists <= PROBES
-                order = list(range(n_lists)) if every else probes + sorted(set(range(n_lists)) - set(probes)) if own[probes].sum() <= k else probes
+                order = probes + sorted(set(range(n_lists)) - set(probes)) if own[probes].sum() <= k else probes
                 for j, l in enumerate(order):
-                    near = every or (j < PROBES and j < len(ratios) and ratios[j] <= PROBE_RATIO)
-                    if not near and have > k:
+                    if j >= len(probes) and have > k:
                         break
                     have += int(own[l])
                     for p in range(int(n_parts[l])):
                         at.append(i)
                         lists.append(l)
                         part.append(p)
-            index = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(part, pa.int32()), pa.array(np.ones(len(at), np.int32)), batch.column("id").take(index), batch.column("v").take(index)], ["list", "part", "kind", "id", "v"])
+                if len(at) > ASKED_ROWS:
+                    yield out()
+            yield out()
 
     kind = vectors.schema["v"].dataType.simpleString()
-    asked = rows.where("query").select("id", "v", "probes", "ratios").mapInArrow(chosen, f"list int, part int, kind int, id long, v {kind}")
+    asked = rows.where("query").select("id", "v", "probes").mapInArrow(chosen, f"list int, part int, kind int, id long, v {kind}")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by list, part and kind: a part's vectors are held, its queries scored against them."""

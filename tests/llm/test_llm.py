@@ -148,6 +148,21 @@ def test_neighbours(spark, copies):
     assert ann.nearest(df.limit(0), "vec_id", "embedding", F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_of_many_lists(spark, monkeypatch):
+    """400 lists of vectors that are uniform on the sphere: no cap on lists may cost recall."""
+    monkeypatch.setattr(ann, "LIST_ROWS", 50)
+    x = np.random.default_rng(4).standard_normal((20_000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.nearest(df, "vec_id", "embedding", F.col("vec_id") % 400 == 0).toPandas()
+    hit = 0
+    for q in range(0, len(x), 400):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20]) & set(got[got.query_id == q].vec_id))
+    assert hit / (50 * 20) >= 0.99
+
+
 def test_packing(docs, plain):
     lib = Tokenizer.from_file(TOKENIZER)
     got = packing.pack_documents(docs, TOKENIZER).toPandas()
