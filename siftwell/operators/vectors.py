@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siftwell.functions.text import cut_bytes, dot, normalized
 
 EMBED_BYTES, EMBED_BATCH = 1500, 16
+BLOCK = 256
 ID = ["rel", "start", "end", "breadcrumb"]
 
 
@@ -23,9 +24,10 @@ def top(store: DataFrame, query: list[float], limit: int, keys: list[str]) -> Da
 
 
 def top_batch(store: DataFrame, queries: DataFrame, limit: int, keys: list[str]) -> DataFrame:
-    """The rows nearest to each of a bounded batch of queries(query_id, q): the batch is one broadcast array, each task keeps its own best."""
-    batch = queries.agg(F.collect_list(F.struct("query_id", "q")).alias("batch"))
-    rows = store.crossJoin(F.broadcast(batch)).select(*keys, "embedding", F.explode("batch").alias("b"))  # one row on the right
+    """The rows nearest to each of a batch of queries(query_id, q), in blocks of about BLOCK queries; each task keeps its own best."""
+    blocks = max(1, -(-queries.count() // BLOCK))
+    batch = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("batch")).select("batch")
+    rows = store.crossJoin(batch).select(*keys, "embedding", F.explode("batch").alias("b"))  # a row on the right for each block
     scored = rows.select("b.query_id", *keys, F.round(dot("embedding", F.col("b.q")), 6).alias("score"))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), *keys)
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit)

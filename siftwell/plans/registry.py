@@ -218,6 +218,14 @@ def vector_batch(spark, sf):
     return vectors.top_batch(store, queries, 10, ["vec_id"])
 
 
+@query()
+def vector_batch_fiftieth(spark, sf):
+    """Every row whose id is divisible by 50 as a query."""
+    store = table(spark, sf, "embeddings")
+    queries = store.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return vectors.top_batch(store, queries, 10, ["vec_id"])
+
+
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS norm FROM embeddings")
 def normalize_vectors(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", T.normalized("embedding").alias("v"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
 from siftwell.operators import braces, chunking, evaluation, fusion, lexical, lines, rerank, skills, sync, vectors
-from siftwell.plans import fixtures
+from siftwell.plans import fixtures, registry
 from siftwell.sources import workspace
 from siftwell.streaming import watch
 
@@ -184,3 +184,10 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_vector_batch_takes_every_fiftieth_row(spark):
+    sf = "/root/testdata/sf0.001"
+    ids = [r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()]
+    got = registry.QUERIES["vector_batch_fiftieth"](spark, sf).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {i: 10 for i in ids if i % 50 == 0}
