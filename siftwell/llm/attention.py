@@ -3,7 +3,8 @@
 Inputs are subword ids: frequent ids have embeddings of their own, others share their group's. The
 output is in two steps: a group of ids with like neighbours, then a leaf in that group (a frequent
 id alone, or all others of the group, of which each has a fixed share). So a token costs a score
-for each group and for each leaf of one group.
+for each group and for each leaf of one group. Both steps start from what has been counted after
+the id before (Vocabulary), and what the attention adds is learned.
 
 Sequences run in blocks; a block's queries see the block before and their own up to themselves, so
 context windows overlap by half and each token is scored once. Query and key projections are one
@@ -26,10 +27,15 @@ _OFFSET = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
 _HIDDEN = _OFFSET < 0
 _SLOT = np.clip(_OFFSET, 0, 2 * BLOCK - 1)
 _NAMES = ("embed", "look", "move", "near", "top", "top_bias", "leaf", "leaf_bias")
+#: Pairs that a row of the pair counts is taken to have from the general shares.
+PRIOR = 25.0
 
 
 class Vocabulary:
-    """Group, leaf, share in its leaf and input slot of each id, from counts and group labels."""
+    """Group, leaf, share in its leaf and input slot of each id, from counts and group labels.
+
+    follow() adds the log shares of groups and leaves after each input slot, from counts of pairs.
+    """
 
     def __init__(self, counts: np.ndarray, group: np.ndarray):
         size = len(counts)
@@ -40,14 +46,21 @@ class Vocabulary:
             first = order[self.group[order] == g][: LEAVES - 1]
             self.leaf[first] = np.arange(len(first))
         smooth = counts + 0.5
-        cell = self.group * LEAVES + self.leaf
-        mass = np.bincount(cell, weights=smooth, minlength=GROUPS * LEAVES)
-        self.share_log = np.log(smooth / mass[cell])
-        mass = np.maximum(mass.reshape(GROUPS, LEAVES), 1e-9)
-        self.group_log = np.log(mass.sum(axis=1) / mass.sum()).astype(np.float32)
-        self.leaf_log = np.log(mass / mass.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.cell = self.group * LEAVES + self.leaf
+        mass = np.bincount(self.cell, weights=smooth, minlength=GROUPS * LEAVES)
+        self.share_log = np.log(smooth / mass[self.cell])
+        self.share = np.maximum(mass, 1e-9) / np.maximum(mass, 1e-9).sum()
         self.slot = INPUTS + self.group
         self.slot[order[:INPUTS]] = np.arange(min(INPUTS, size))
+        self.follow(np.zeros((INPUTS + GROUPS, GROUPS * LEAVES)))
+
+    def follow(self, pairs: np.ndarray) -> None:
+        """pairs: how often each cell comes after an id of each slot."""
+        given = (pairs + PRIOR * self.share) / (pairs.sum(axis=1, keepdims=True) + PRIOR)
+        given = given.reshape(-1, GROUPS, LEAVES)
+        top = given.sum(axis=2)
+        self.top_log = np.log(top).astype(np.float32)
+        self.leaf_log = np.log(given / top[:, :, None]).astype(np.float32)
 
 
 def fresh(vocab: Vocabulary, seed: int = 1) -> dict[str, np.ndarray]:
@@ -60,9 +73,9 @@ def fresh(vocab: Vocabulary, seed: int = 1) -> dict[str, np.ndarray]:
         "move": draw(d, d, scale=d**-0.5),
         "near": (-0.1 * np.arange(2 * BLOCK)).astype(np.float32),
         "top": draw(d, GROUPS, scale=0.05),
-        "top_bias": vocab.group_log.copy(),
+        "top_bias": np.zeros(GROUPS, np.float32),
         "leaf": draw(GROUPS, d, LEAVES, scale=0.05),
-        "leaf_bias": vocab.leaf_log.copy(),
+        "leaf_bias": np.zeros((GROUPS, LEAVES), np.float32),
     }
 
 
@@ -121,16 +134,18 @@ def log_probs(p: dict[str, np.ndarray], vocab: Vocabulary, inputs: np.ndarray, t
         before = x[-1]
         g, l = group[here], leaf[here]
         z = h @ p["top"] + p["top_bias"]
+        z += vocab.top_log[slots[here]]
         score = np.minimum(z[np.arange(len(z)), g], 60)
         score -= np.log(_normaliser(z))
         order = np.argsort(g.astype(np.int8), kind="stable")
         edge = np.searchsorted(g[order], np.arange(GROUPS + 1))
-        h, l = h[order], l[order]
+        h, l, s = h[order], l[order], slots[here][order]
         part = np.empty(len(h), np.float32)
         for k in range(GROUPS):
             i, j = edge[k], edge[k + 1]
             if i < j:
                 z = h[i:j] @ p["leaf"][k] + p["leaf_bias"][k]
+                z += vocab.leaf_log[s[i:j], k]
                 own = np.minimum(z[np.arange(j - i), l[i:j]], 60)
                 part[i:j] = own - np.log(_normaliser(z))
         score[order] += part
@@ -138,16 +153,17 @@ def log_probs(p: dict[str, np.ndarray], vocab: Vocabulary, inputs: np.ndarray, t
     return out[at].astype(np.float64) + vocab.share_log[targets]
 
 
-def _gradients(p, slots, group, leaf, real, begins):
+def _gradients(p, vocab, slots, group, leaf, real, begins):
     """Mean loss over real places and its gradients; arrays are shaped (blocks, BLOCK)."""
     d = WIDTH
     x = p["embed"][slots]
     xx, q, s, c, h = _attend(p, x, np.zeros((BLOCK, d), np.float32), begins)
-    flat, g_of, l_of = h.reshape(-1, d), group.ravel(), leaf.ravel()
+    flat, s_of, g_of, l_of = h.reshape(-1, d), slots.ravel(), group.ravel(), leaf.ravel()
     weight = real.ravel().astype(np.float32)
     n = max(1.0, float(weight.sum()))
     weight /= n
     z = flat @ p["top"] + p["top_bias"]
+    z += vocab.top_log[s_of]
     z /= _normaliser(z)[:, None]
     rows = np.arange(len(z))
     loss = -float((np.log(z[rows, g_of] + 1e-12) * weight).sum())
@@ -155,16 +171,20 @@ def _gradients(p, slots, group, leaf, real, begins):
     z *= weight[:, None]
     g = {"top": flat.T @ z, "top_bias": z.sum(axis=0), "leaf": np.zeros_like(p["leaf"]), "leaf_bias": np.zeros_like(p["leaf_bias"])}
     dh = z @ p["top"].T
+    order = np.argsort(np.where(weight > 0, g_of, GROUPS).astype(np.int8), kind="stable")
+    edge = np.searchsorted(g_of[order[: int(real.sum())]], np.arange(GROUPS + 1))
     for k in range(GROUPS):
-        mine = np.flatnonzero((g_of == k) & (weight > 0))
+        mine = order[edge[k] : edge[k + 1]]
         if len(mine):
-            z = flat[mine] @ p["leaf"][k] + p["leaf_bias"][k]
+            own = flat[mine]
+            z = own @ p["leaf"][k] + p["leaf_bias"][k]
+            z += vocab.leaf_log[s_of[mine], k]
             z /= _normaliser(z)[:, None]
             i = np.arange(len(mine))
             loss -= float((np.log(z[i, l_of[mine]] + 1e-12) * weight[mine]).sum())
             z[i, l_of[mine]] -= 1
             z *= weight[mine][:, None]
-            g["leaf"][k], g["leaf_bias"][k] = flat[mine].T @ z, z.sum(axis=0)
+            g["leaf"][k], g["leaf_bias"][k] = own.T @ z, z.sum(axis=0)
             dh[mine] += z @ p["leaf"][k].T
     g["move"] = c.reshape(-1, d).T @ dh
     dc = (dh @ p["move"].T).reshape(c.shape)
@@ -177,9 +197,11 @@ def _gradients(p, slots, group, leaf, real, begins):
     dx = dh + dq @ p["look"].T
     dx = dx.reshape(x.shape) + dxx[:, BLOCK:]
     dx[:-1] += dxx[1:, :BLOCK]
-    e = np.zeros_like(p["embed"])
-    np.add.at(e, slots.ravel(), dx.reshape(-1, d))
-    g["embed"] = e
+    order = np.argsort(s_of.astype(np.int16), kind="stable")
+    met = s_of[order]
+    first = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
+    g["embed"] = np.zeros_like(p["embed"])
+    g["embed"][met[first]] = np.add.reduceat(dx.reshape(-1, d)[order], first, axis=0)
     return loss, g
 
 
@@ -203,7 +225,7 @@ def trained(p: dict[str, np.ndarray], vocab: Vocabulary, windows: list[np.ndarra
             slots[at] = vocab.slot[np.concatenate([w[:-1] for w in part])]
             group[at], leaf[at], real[at] = vocab.group[targets], vocab.leaf[targets], True
             shape = (-1, BLOCK)
-            loss, g = _gradients(p, slots.reshape(shape), group.reshape(shape), leaf.reshape(shape), real.reshape(shape), begins)
+            loss, g = _gradients(p, vocab, slots.reshape(shape), group.reshape(shape), leaf.reshape(shape), real.reshape(shape), begins)
             total += loss
             step += 1
             now = rate * min(1.0, step / 10) * (1.0 - 0.9 * step / (count + 1))

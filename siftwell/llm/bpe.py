@@ -24,12 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siftwell.llm.common import slices
+from siftwell.llm.common import kept, slices
 
 #: Distinct words, and distinct pre-tokens, that a worker keeps; a store beyond it is emptied and filled anew.
 WORD_STORE, PIECE_STORE = 1_000_000, 600_000
+#: New words that are split at once.
+LEARNED = 1 << 16
 _NEVER = 1 << 40
-_OPEN = {}
 
 
 def _ranges(test) -> str:
@@ -93,7 +94,6 @@ class SpeculativeBPE:
         self._index_tokens(vocab)
         self.sound = self._sound_tokens(left, right, made)
         self.find = word_pattern().findall
-        self.pieces: dict[str, list[int]] = {}
         self.reset()
 
     def _index_tokens(self, vocab: dict[str, int]) -> None:
@@ -108,6 +108,10 @@ class SpeculativeBPE:
         if not self.suffix:
             self.inner = self.final
         self.longest = max([1, *map(len, self.inner), *map(len, self.final)])
+        #: The longest token that does not end a word, by its first two bytes.
+        self.reach: dict[bytes, int] = {}
+        for t in self.inner:
+            self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 1))
 
     def _sound_tokens(self, left: np.ndarray, right: np.ndarray, made: np.ndarray) -> np.ndarray:
         """Whether BPE turns a token's own text into that token."""
@@ -192,12 +196,12 @@ class SpeculativeBPE:
 
     def proposed(self, word: bytes) -> list[int]:
         """Greedy longest match from the left."""
-        inner, final, out, i, n = self.inner, self.final, [], 0, len(word)
+        inner, final, reach, out, i, n = self.inner, self.final, self.reach.get, [], 0, len(word)
         while i < n:
             if n - i <= self.longest and (t := final.get(word[i:])) is not None:
                 out.append(t)
                 break
-            for j in range(min(n - 1, i + self.longest), i, -1):
+            for j in range(min(n - 1, i + reach(word[i : i + 2], 1)), i, -1):
                 if (t := inner.get(word[i:j])) is not None:
                     out.append(t)
                     i = j
@@ -222,6 +226,8 @@ class SpeculativeBPE:
         return ids
 
     def reset(self) -> None:
+        #: Packed ids (unsigned 32-bit) of pre-tokens that are not words of their own, or not yet.
+        self.pieces: dict[str, bytes] = {}
         self.codes: dict[str | int, int] = {}
         self.count = 0
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -231,28 +237,37 @@ class SpeculativeBPE:
 
     def _learn(self, words: list[str | int]) -> None:
         """Store the ids of words as they stand between white space; an int is a special token's id."""
-        parts = [None if isinstance(w, int) else self.find(w) for w in words]
+        parts = [None if isinstance(w, int) else [w] if len(found := self.find(w)) == 1 and found[0] == w else found for w in words]
         if len(self.pieces) > PIECE_STORE:
             self.pieces = {}
         pieces = self.pieces
         new = list(dict.fromkeys(p for ps in parts if ps for p in ps if p not in pieces))
-        if new:
-            pieces.update(zip(new, self.split_words(new)))
-        split = [[w] if ps is None else pieces[ps[0]] if len(ps) == 1 else [t for p in ps for t in pieces[p]] for w, ps in zip(words, parts)]
-        n, k = sum(map(len, split)), self.count
+        for a in range(0, len(new), LEARNED):
+            part = new[a : a + LEARNED]
+            pieces.update(zip(part, self._packed(self.split_words(part))))
+        split = [int(w).to_bytes(4, "little") if ps is None else pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps]) for w, ps in zip(words, parts)]
+        lens = np.fromiter(map(len, split), np.int64, len(split)) // 4
+        n, k = int(lens.sum()), self.count
         while self.used + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while k + len(words) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        lens = np.fromiter(map(len, split), np.int64, len(split))
-        self.flat[self.used : self.used + n] = np.fromiter((t for x in split for t in x), np.uint32, n)
+        self.flat[self.used : self.used + n] = np.frombuffer(b"".join(split), "<u4")
         self.length[k : k + len(words)] = lens
         self.start[k : k + len(words)] = self.used + np.cumsum(lens) - lens
         self.used += n
         self.codes.update(zip(words, range(k, k + len(words))))
         self.count += len(words)
 
+    @staticmethod
+    def _packed(ids: list[list[int]]) -> list[bytes]:
+        """The ids of each word as unsigned 32-bit bytes: a fraction of a list's memory."""
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        raw = np.fromiter(chain.from_iterable(ids), "<u4", int(n.sum())).tobytes()
+        ends = 4 * np.cumsum(n)
+        return [raw[a:b] for a, b in zip((ends - 4 * n).tolist(), ends.tolist())]
+
     def words(self, text: str) -> list[str | int]:
         """Normalised words between white space; strings of special tokens become their ids."""
         if self.special_pattern is not None and "<|" in text:
@@ -336,11 +351,7 @@ class LibraryBPE(SpeculativeBPE):
 
 def opened(blob: bytes, kind: type[SpeculativeBPE] = SpeculativeBPE) -> SpeculativeBPE:
     """One encoder a worker process for each vocabulary."""
-    key = (kind.__name__, hashlib.md5(blob).digest())
-    if key not in _OPEN:
-        _OPEN.clear()
-        _OPEN[key] = kind(blob)
-    return _OPEN[key]
+    return kept((kind.__name__, hashlib.md5(blob).digest()), lambda: kind(blob))
 
 
 def vocabulary(df: DataFrame, path: str):

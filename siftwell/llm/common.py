@@ -50,6 +50,21 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make=lambda: None):
+    """What a worker process keeps between tasks, of one operator at a time.
+
+    Workers are used again by later stages: whatever an earlier operator has left there goes as soon
+    as another one asks, so a worker never holds the stores of two.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     """(first row, end row) runs whose text is about `limit` bytes at most; a longer text stands alone."""
     n = batch.num_rows

@@ -1,9 +1,14 @@
 """Language-model scores of whole texts, with exact word counts as a base line.
 
-Learning rows are those that fold() leaves in. Words are counted over all of them. The attention
-model learns from all windows of WINDOW_WORDS words of every learning document, each window in one
-of ROUNDS rounds. In a round each task trains from the same start on its own windows and the weights
-are averaged.
+Learning rows are those that fold() leaves in. One pass over them counts all words and writes all
+windows of WINDOW_WORDS words as subword ids. Counts of ids, and of pairs of neighbours, cover all
+windows; the attention model then learns from every window once, in one of ROUNDS rounds.
+
+A window belongs to a learner by a hash of its document and place, and a learner takes its windows
+in the order of that hash, so the model is a function of the table's rows and not of how they are
+dealt over files and tasks. Learners hold about LEARNER_WINDOWS windows and grow in number with the
+input. All start from the same weights; after a round their weights are averaged as whole numbers,
+in which the order of adding does not count.
 
 Words that are frequent in the learning rows (at most FREQUENT of them, a fixed size for the
 broadcast) are looked up while texts are scored; all rarer words are counted exactly by a join.
@@ -19,7 +24,6 @@ from __future__ import annotations
 
 import gc
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,20 +34,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import attention, bpe
-from siftwell.llm.common import LOWER_AZ, fold, slices, staged
+from siftwell.llm.common import LOWER_AZ, fold, joined_bytes, kept, slices, staged
 
 FREQUENT = 1 << 17
 WINDOW_WORDS = 32
 #: Averages of weights; each window is learned from in one of them.
 ROUNDS = 2
-RATE = 0.03
-#: Steps that a task makes at least in a round; a task of few windows goes over them again.
+RATE = 0.04
+#: Windows that a learner has in a round, about; and those of one step.
+LEARNER_WINDOWS, STEP_WINDOWS = 1 << 15, 64
+#: Steps that a learner makes at least in a round; one of few windows goes over them again.
 LEAST_STEPS = 400
+#: Weights are summed as whole numbers of this part.
+GRAIN = 2.0**-32
 #: Distinct words that a worker keeps what it knows of; a store beyond it is filled anew.
 STORED = 700_000
-_STORES: dict = {}
-#: Distinct words that a task counts before it sends them on.
-COUNTED = 500_000
 #: Frequent ids that are grouped by their neighbours; rarer ones by a rule.
 GROUPED = 4096
 NEIGHBOURS = 96
@@ -54,43 +59,36 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").translate(LOWER_AZ).split()
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """word (its hash), n over all rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            h = xxhash.xxh64_intdigest
-            key = np.array([h(w) for w in seen], np.uint64).view(np.int64)
-            n = np.fromiter(seen.values(), np.int64, len(seen))
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["word", "n"])
+def gathered(train: DataFrame, vocabulary, begin: int, end: int) -> DataFrame:
+    """All that is learned from, in one pass: rows of windows and rows of word counts.
 
-        for batch in batches:
-            for i, j in slices(batch, "text"):
-                for t in batch.column("text").slice(i, j - i):
-                    seen.update(words_of(t.as_py()))
-                if len(seen) > COUNTED:
-                    yield out()
-        if seen:
-            yield out()
-
-    return train.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def windows(train: DataFrame, vocabulary, begin: int, end: int) -> DataFrame:
-    """turn INT, ids ARRAY<INT>: all windows and the round they belong to, with their document's begin or end where they touch it."""
+    A window: at (a hash of its document and place) and ids (unsigned 32-bit), with the document's
+    begin or end where it touches it. A count: word (its hash) and n, in parts to be summed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = store_of(vocabulary.value, np.zeros(0, np.uint64), np.zeros(0))
-        h = xxhash.xxh32_intdigest
+        h = xxhash.xxh64_intdigest
+        seen = np.zeros(0, np.int64)
+        names = ["at", "ids", "word", "n"]
+
+        def counted() -> pa.RecordBatch:
+            code = np.flatnonzero(seen)
+            none = pa.nulls(len(code), pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.nulls(len(code), pa.binary()), pa.array(store.key[code].view(np.int64)), pa.array(seen[code])], names)
+
         for batch in batches:
             for i, j in slices(batch, "text"):
                 part = batch.slice(i, j - i)
                 rows = [words_of(t) for t in part.column("text").to_pylist()]
                 size = np.fromiter(map(len, rows), np.int64, len(rows))
-                ids, per_word = store.ids(store.codes(list(chain.from_iterable(rows))))
+                if store.full():
+                    yield counted()
+                    store.reset()
+                    seen = np.zeros(0, np.int64)
+                code = store.codes(list(chain.from_iterable(rows)))
+                seen = np.concatenate([seen, np.zeros(len(store.key) - len(seen), np.int64)]) + np.bincount(code, minlength=len(store.key))
+                ids, per_word = store.ids(code)
                 upto = np.concatenate([[0], np.cumsum(per_word)])
                 last = np.cumsum(size)
                 first = last - size
@@ -100,16 +98,28 @@ def windows(train: DataFrame, vocabulary, begin: int, end: int) -> DataFrame:
                 cut = np.concatenate([upto[first[doc] + k * WINDOW_WORDS], upto[-1:]])
                 ends = np.concatenate([[0], np.cumsum(np.diff(cut) + (k == 0) + (k == n[doc] - 1))])
                 flat = np.insert(ids, np.stack([upto[first], upto[last]], axis=1).ravel(), np.tile([begin, end], len(rows)))
-                turn = (np.array([h(str(d)) for d in part.column("doc_id").to_pylist()], np.int64)[doc] + k) % ROUNDS
-                yield pa.RecordBatch.from_arrays([pa.array(turn, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], ["turn", "ids"])
+                at = np.array([h(str(d)) for d in part.column("doc_id").to_pylist()], np.uint64)[doc]
+                with np.errstate(over="ignore"):
+                    at = mixed(at + np.uint64(0x9E3779B97F4A7C15) * k.astype(np.uint64))
+                raw = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(flat.astype("<u4"))])
+                none = pa.nulls(len(at), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), raw, none, none], names)
+        if seen.any():
+            yield counted()
+
+    return train.select("doc_id", "text").mapInArrow(run, "at long, ids binary, word long, n long")
+
 
-    return train.select("doc_id", "text").mapInArrow(run, "turn int, ids array<int>")
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def flat_ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all windows, and the n + 1 offsets."""
-    lists = batch.column("ids")
-    return np.array(lists.flatten()), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    raw, at = joined_bytes(batch.column("ids"))
+    return np.ascontiguousarray(raw).view("<u4").astype(np.int64), at // 4
 
 
 def tallied(seen: DataFrame, cells: int, cells_of) -> np.ndarray:
@@ -128,8 +138,18 @@ def tallied(seen: DataFrame, cells: int, cells_of) -> np.ndarray:
     return out
 
 
+def neighbours(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ids that follow each other in a window."""
+    inside = np.ones(max(0, len(ids) - 1), bool)
+    inside[offsets[(offsets > 0) & (offsets < len(ids))] - 1] = False
+    return ids[:-1][inside], ids[1:][inside]
+
+
 def vocabulary_of(seen: DataFrame, size: int) -> attention.Vocabulary:
-    """Classes from the windows: ids of like neighbours share a class. At most `size` counts and a fixed table of pairs reach the driver."""
+    """Classes and counted pairs from all windows: ids of like neighbours share a class.
+
+    At most `size` counts and two fixed tables of pairs reach the driver.
+    """
     counts = tallied(seen, size, lambda ids, _: ids)
     order = np.argsort(-counts, kind="stable")
     listed = order[:GROUPED]
@@ -137,15 +157,13 @@ def vocabulary_of(seen: DataFrame, size: int) -> attention.Vocabulary:
     place[listed] = np.arange(len(listed))
     near[order[:NEIGHBOURS]] = np.arange(min(NEIGHBOURS, size))
 
-    def pairs(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        inside = np.ones(max(0, len(ids) - 1), bool)
-        inside[offsets[(offsets > 0) & (offsets < len(ids))] - 1] = False
-        a, b = ids[:-1][inside], ids[1:][inside]
+    def beside(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        a, b = neighbours(ids, offsets)
         cells = [np.where((place[x] >= 0) & (near[y] >= 0), place[x] * 2 * NEIGHBOURS + side + near[y], -1) for x, y, side in ((a, b, 0), (b, a, NEIGHBOURS))]
         cells = np.concatenate(cells)
         return cells[cells >= 0]
 
-    table = tallied(seen, GROUPED * 2 * NEIGHBOURS, pairs).reshape(GROUPED, 2 * NEIGHBOURS).astype(np.float64)
+    table = tallied(seen, GROUPED * 2 * NEIGHBOURS, beside).reshape(GROUPED, 2 * NEIGHBOURS).astype(np.float64)
     x = np.sqrt((table + 0.05) / (table + 0.05).sum(axis=1, keepdims=True))
     rng = np.random.default_rng(3)
     use = np.flatnonzero(counts[listed] > 0)
@@ -159,48 +177,64 @@ def vocabulary_of(seen: DataFrame, size: int) -> attention.Vocabulary:
                 if (own == k).any():
                     centre[k] = np.average(x[own == k], axis=0, weights=weight[own == k])
         group[listed[use]] = own
-    return attention.Vocabulary(counts, group)
+    vocab = attention.Vocabulary(counts, group)
+    slot, cell = vocab.slot, vocab.cell
+    slots, cells = attention.INPUTS + attention.GROUPS, attention.GROUPS * attention.LEAVES
 
+    def following(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        a, b = neighbours(ids, offsets)
+        return slot[a] * cells + cell[b]
 
-def gathered(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Iterator[list[np.ndarray]]:
-    """Windows of two ids or more, up to about `most` at a time."""
-    rows: list[np.ndarray] = []
-    for batch in batches:
-        flat, at = flat_ids(batch)
-        rows += [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist()) if b - a > 1]
-        if len(rows) >= most:
-            yield rows
-            rows = []
-    if rows:
-        yield rows
+    vocab.follow(tallied(seen, slots * cells, following).reshape(slots, cells))
+    return vocab
 
 
 def fitted(seen: DataFrame, vocab: attention.Vocabulary) -> dict[str, np.ndarray]:
-    """Weights averaged over tasks that each learn from their own windows. The driver gets one row a weight."""
+    """Weights averaged over learners that each learn from their own windows. The driver gets one row a weight."""
     sc = seen.sparkSession.sparkContext
     now = attention.fresh(vocab)
+    turn = F.pmod(F.shiftright("at", 48), F.lit(ROUNDS))
     for r in range(ROUNDS):
+        rows = seen.where(turn == r)
+        learners = max(1, round(rows.count() / LEARNER_WINDOWS))
         start = sc.broadcast((now, vocab))
         rate = RATE / (r + 1)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p, v = start.value
-            tokens = 0
-            for rows in gathered(batches):
-                order = np.random.default_rng(5).permutation(len(rows)).tolist()
-                if rows:
-                    p, _ = attention.trained(p, v, [rows[k] for k in order], rate, least_steps=LEAST_STEPS)
-                    tokens += sum(map(len, rows))
-            if tokens:
-                w = attention.packed(p).astype(np.float64) * tokens
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w)), pa.int32()), pa.array(w), pa.array(np.full(len(w), float(tokens)))], ["k", "w", "n"])
-
-        sums = seen.where(F.col("turn") == r).select("ids").mapInArrow(run, "k int, w double, n double").groupBy("k").agg((F.sum("w") / F.sum("n")).alias("w")).collect()
+            total, done = np.zeros(len(attention.packed(p)), np.int64), 0
+            held: list[np.ndarray] = []
+            mine = None
+
+            def learn() -> None:
+                nonlocal total, done
+                if held:
+                    w, _ = attention.trained(p, v, held, rate, STEP_WINDOWS, LEAST_STEPS)
+                    total += np.rint(attention.packed(w).astype(np.float64) / GRAIN).astype(np.int64)
+                    done += 1
+                    held.clear()
+
+            for batch in batches:
+                ids, at = flat_ids(batch)
+                ids = ids.astype(np.uint32)
+                for k, a, b in zip(batch.column("learner").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                    if k != mine:
+                        learn()
+                        mine = k
+                    if b - a > 1:
+                        held.append(ids[a:b])
+            learn()
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total), pa.array(np.full(len(total), done))], ["k", "w", "n"])
+
+        dealt = rows.select(F.pmod("at", F.lit(learners)).cast("int").alias("learner"), "at", "ids")
+        ordered = dealt.repartitionById(learners, "learner").sortWithinPartitions("learner", "at", "ids")
+        sums = ordered.mapInArrow(run, "k int, w long, n long").groupBy("k").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect()
         if not sums:
             continue
         flat = np.zeros(len(attention.packed(now)), np.float64)
-        for k, w in sums:
-            flat[k] = w
+        for k, w, n in sums:
+            flat[k] = w * GRAIN / n
         now = attention.unpacked(flat, now)
     return now
 
@@ -224,24 +258,41 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray,
 class WordStore:
     """What a worker knows of each word: its hash, log10 of its count plus 0.5 if frequent, and its subword ids.
 
-    Ids are the vocabulary's greedy longest matches in the word's pre-tokens. STORED words are kept.
+    Ids are the vocabulary's greedy longest matches in the word's pre-tokens, or in the whole word
+    where pre-tokens leave out a part of it. STORED words are kept.
     """
 
     def __init__(self, enc: bpe.SpeculativeBPE, known: np.ndarray, value: np.ndarray):
         self.enc, self.known, self.value = enc, known, value
+        self.reset()
+
+    def reset(self) -> None:
         self.code: dict[bytes, int] = {}
         self.key, self.logs, self.hit = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool)
         self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
+    def full(self) -> bool:
+        return len(self.code) > STORED
+
+    def _split(self, word: bytes) -> list[int]:
+        split = self.enc.proposed
+        if word.isalpha():
+            return split(word)
+        if word[:-1].isalpha() and word[-1] in b".,;:!?":
+            return split(word[:-1]) + split(word[-1:])
+        pieces = [p.encode("utf-8") for p in self.enc.find(word.decode("utf-8"))]
+        if len(pieces) == 1 or b"".join(pieces) != word:
+            return split(word)
+        return [t for p in pieces for t in split(p)]
+
     def _learn(self, new: list[bytes]) -> None:
-        h, find, split = xxhash.xxh64_intdigest, self.enc.find, self.enc.proposed
-        key = np.array([h(w) for w in new], np.uint64)
+        key = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
         hit, logs = np.zeros(len(key), bool), np.zeros(len(key))
         if len(self.known):
             at = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
             hit = self.known[at] == key
             logs = np.where(hit, self.value[at], 0.0)
-        ids = [[t for p in find(w.decode("utf-8").lower()) for t in split(p.encode("utf-8"))] for w in new]
+        ids = list(map(self._split, new))
         length = np.fromiter(map(len, ids), np.int32, len(ids))
         start = len(self.flat) + np.cumsum(length, dtype=np.int64) - length
         more = (key, logs, hit, start, length, np.fromiter(chain.from_iterable(ids), np.int32, int(length.sum())))
@@ -249,8 +300,7 @@ class WordStore:
         self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
 
     def codes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.code) > STORED:
-            self.__init__(self.enc, self.known, self.value)
+        """A code for each word, for as long as the store is not reset."""
         found = list(map(self.code.get, words))
         if missing := [i for i, c in enumerate(found) if c is None]:
             gc.disable()  # many new lists and no cycles: collections would only walk the store
@@ -279,10 +329,8 @@ def with_ends(ids: np.ndarray, per_word: np.ndarray, words: np.ndarray, begin: i
 
 def store_of(blob: bytes, known: np.ndarray, value: np.ndarray) -> WordStore:
     """One store a worker process for each vocabulary and table of frequent words."""
-    mark = (hash(blob), len(known), hash(known.tobytes()), hash(value.tobytes()))
-    if _STORES.get("mark") != mark:
-        _STORES.update(mark=mark, store=WordStore(bpe.opened(blob), known, value))
-    return _STORES["store"]
+    mark = ("words", hash(blob), len(known), hash(known.tobytes()), hash(value.tobytes()))
+    return kept(mark, lambda: WordStore(bpe.SpeculativeBPE(blob), known, value))
 
 
 def scored(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
@@ -291,11 +339,12 @@ def scored(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
     sc = spark.sparkContext
     docs = docs.select("doc_id", "text")
     train = docs.where(F.coalesce(fold("doc_id", FOLDS), F.lit(0)) != HELD_OUT)
-    counts = staged(word_counts(train), "words")
     blob = bpe.vocabulary(docs, path)
-    enc = bpe.SpeculativeBPE(blob.value)
-    begin, end = enc.size, enc.size + 1
-    seen = staged(windows(train, blob, begin, end), "windows")
+    size = bpe.SpeculativeBPE(blob.value).size
+    begin, end = size, size + 1
+    both = staged(gathered(train, blob, begin, end), "gathered")
+    seen = both.where("at is not null").select("at", "ids")
+    counts = staged(both.where("at is null").groupBy("word").agg(F.sum("n").alias("n")), "words")
     n_docs = train.count()
     n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, kinds = n_words + n_docs, distinct + (n_docs > 0)
@@ -312,6 +361,8 @@ def scored(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
                 texts = part.column("text").to_pylist()
                 rows = [words_of(t) for t in texts]
                 size = np.fromiter(map(len, rows), np.int64, len(rows))
+                if words.full():
+                    words.reset()
                 code = words.codes(list(chain.from_iterable(rows)))
                 logs, hit = words.logs[code], words.hit[code]
                 doc = np.repeat(np.arange(len(rows)), size)

@@ -213,22 +213,44 @@ def test_lm_base_scores(docs, plain):
         assert got[i].score < 0 and math.isfinite(got[i].score)
 
 
-def window_rows(spark, path):
-    """Texts of 0 to 300 words in one partition, their windows in order, and the ids they must hold."""
+def test_lm_learns_from_all_windows_once(spark):
+    """Texts of 0 to 300 words: windows by document in order, the ids they hold, and the words counted."""
     texts = ["", None, "one", *(" ".join(f"w{i}x{j % 7}" for j in range(n)) for i, n in enumerate((31, 32, 33, 64, 300)))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    blob = bpe.vocabulary(df, path)
+    blob = bpe.vocabulary(df, TOKENIZER)
     enc = bpe.SpeculativeBPE(blob.value)
     store = lm.WordStore(enc, np.zeros(0, np.uint64), np.zeros(0))
+    rows = lm.gathered(df, blob, enc.size, enc.size + 1).collect()
+    seen = [np.frombuffer(r.ids, "<u4").tolist() for r in rows if r.at is not None]
     want = [[enc.size, *store.ids(store.codes(lm.words_of(t)))[0].tolist(), enc.size + 1] for t in texts]
-    return lm.windows(df, blob, enc.size, enc.size + 1), want, enc.size + 2
+    assert [i for ids in seen for i in ids] == [i for w in want for i in w]
+    assert len(seen) == 3 + 1 + 1 + 2 + 2 + 10
+    counts = {r.word: r.n for r in rows if r.at is None}
+    words = Counter(w for t in texts for w in lm.words_of(t))
+    assert counts == {int(np.uint64(xxhash.xxh64_intdigest(w)).astype(np.int64)): n for w, n in words.items()}
 
 
-def test_lm_learns_from_all_windows_once(spark):
-    seen, want, _ = window_rows(spark, TOKENIZER)
-    rows = seen.collect()
-    assert [i for r in rows for i in r.ids] == [i for w in want for i in w]
-    assert len(rows) == 3 + 1 + 1 + 2 + 2 + 10 and {r.turn for r in rows} == set(range(lm.ROUNDS))
+def test_lm_words_have_ids_of_their_own():
+    with open(TOKENIZER, "rb") as f:
+        enc = bpe.SpeculativeBPE(f.read())
+    store = lm.WordStore(enc, np.zeros(0, np.uint64), np.zeros(0))
+    words = ["Ärzte", "ärzte", "a\u00a0b", "ab", "a\u3000b", "l'eau", "leau", "x1y", "xy.", "xy"]
+    ids = [tuple(store.ids(store.codes([w.encode()]))[0].tolist()) for w in words]
+    assert all(ids) and len(set(ids)) == len(words)
+
+
+def test_lm_is_a_function_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LEARNER_WINDOWS", 1500)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = [{r.doc_id: (r.score, r.base_score) for r in lm.scored(d, TOKENIZER).collect()} for d in (docs, docs.repartition(13).orderBy(F.rand(3)))]
+    assert out[0].keys() == out[1].keys()
+    assert all(a == pytest.approx(out[1][i], rel=1e-9) for i, a in out[0].items())
+
+
+def test_lm_beats_the_base_line(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    t = lm.scored(docs, TOKENIZER).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert t[0] > t[1]
 
 
 def test_attention_is_a_distribution_and_scores_once():
