@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import fold, joined_bytes, slices, unit_hash
+from siftwell.llm.common import fold, joined_bytes, kept, slices, unit_hash
 
 POSITIVES, UNLABELLED = 20_000, 20_000
 HIDDEN = 16
@@ -201,16 +201,23 @@ def scored(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score reaches the threshold, with their columns; all of them without a model."""
+    """The documents whose score reaches the threshold, with their columns; all of them without a model.
+
+    Only the texts go to Python, and one number a row comes back.
+    """
+    if net is None:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j in slices(batch, "text"):
-                part = batch.slice(i, j - i)
-                yield part if shared.value is None else part.filter(pa.array(_scores(part, shared.value) >= threshold))
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kept("puquality")
+        for col in texts:
+            part = pa.RecordBatch.from_arrays([col], ["text"])
+            out = [_scores(part.slice(i, j - i), shared.value) for i, j in slices(part, "text")]
+            yield pa.array(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(score(docs["text"]) >= threshold)
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
