@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Text handled at once by the vectorised kernels; bounds a worker's memory for any batch size.
 SLICE_BYTES = 2 << 20
 
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -33,19 +35,54 @@ def unit_hash(c: Column, seed: int = 0) -> Column:
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder that the session names; a folder of our own only where none is set (tests)."""
+    """The shared folder that the session names; one of our own only in a local session that names none (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return (root or "/tmp/checkpoints").rstrip("/") + "/siftwell"
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "/tmp/checkpoints"
+    return root.rstrip("/") + "/siftwell"
+
 
+def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write a table in the shared folder and read it back: cuts lineage and survives lost executors.
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+    Shuffle files of the write are of no use once the table is there, so Spark drops them at its end.
+    path: where an earlier table of the caller's, no longer needed, is overwritten.
+    """
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    path = path or f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_SHUFFLES) if before is None else spark.conf.set(CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The table with a key column, and the column's name: distinct numbers in the order of doc_id.
+
+    The key is doc_id itself where every row has one of its own. Otherwise rows are numbered once, in a
+    staged table, by doc_id and then text; rows without doc_id come last.
+    """
+    key = free_name(docs, "row_key")
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    if odd.isEmpty():
+        return docs.withColumn(key, F.col("doc_id")), key
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first())
+    return staged(ordered.withColumn(key, F.monotonically_increasing_id()), "numbered"), key
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -90,11 +127,3 @@ def joined_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = col.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def released(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of tables that are staged and no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

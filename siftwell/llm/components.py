@@ -8,10 +8,12 @@ more than a round, and nothing about nodes or links comes to the driver but two
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import staged
+from siftwell.llm.common import staged, staging_root
 
 
 def _stars(links: DataFrame, both_ways: bool) -> DataFrame:
@@ -33,14 +35,15 @@ def _stars(links: DataFrame, both_ways: bool) -> DataFrame:
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component for every node of links(a, b): component is its smallest reachable node."""
-    now = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
+    place = f"{staging_root(links.sparkSession)}/links-{uuid.uuid4().hex}"
+    now = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links", f"{place}/0")
     mark = None
-    for _ in range(max_rounds):
+    for r in range(1, max_rounds + 1):
         total = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(total) == mark or not total[0]:
             break
         mark = tuple(total)
-        now = staged(_stars(_stars(now, True), False), "links")
+        now = staged(_stars(_stars(now, True), False), "links", f"{place}/{r % 2}")  # the table before the last is done with
     else:
         raise RuntimeError(f"components: no end after {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -4,23 +4,26 @@ A byte is removed if a MIN_BYTES-byte string that covers it also starts earlier:
 smaller doc_id, or earlier in the same one. Matches never cross documents.
 
 Equal strings of MIN_BYTES bytes hold the same anchors: of the K-byte grams in the string, the one
-of smallest hash. So suffixes are sampled at anchors, and only occurrences of the same anchor meet
-in a task. Most repeats are settled there: occurrences whose whole surroundings (every MIN_BYTES
-string that holds the anchor) are equal are one class, and all but its first are removed. The
-classes' first occurrences go on to the Burrows-Wheeler stage: their suffixes from the anchor are
-sorted with their common prefixes, and the bytes that precede them in that order are the
-transform's column. Starting from the anchors' intervals, extension goes backward breadth-first: at
-depth l every interval is split by the preceding byte, so its rows share l bytes to the left and
-their common prefix to the right; a repeat is an interval whose l plus common prefix reaches
-MIN_BYTES. Depths rise one at a time and end at MIN_BYTES - K; single rows stop. An anchor with
-more than HOT_ROWS such rows (a passage that very many documents share) is not sorted in one task:
-its strings are hashed whole, settled within each slice, and compared by hash over all tasks.
+of smallest hash. So suffixes are sampled at anchors, and only occurrences of the same anchor need
+to be compared. Occurrences whose whole surroundings (every MIN_BYTES string that holds the anchor)
+are equal are summed up as one class first: all but the first of a class are repeats, and only that
+one goes on, if its anchor has other classes.
+
+Those suffixes meet in the order of a Burrows-Wheeler transform, an interval an anchor. Extension is
+breadth-first, a byte a step, in both directions. To the right, an interval that splits at step v
+fixes the common prefixes at its borders as v, so these come by increasing value, and what holds to
+MIN_BYTES is not told apart further. To the left, at depth l, every interval is split by the byte
+before, so its rows share l bytes to the left and their common prefix to the right; a repeat is an
+interval whose l plus common prefix reaches MIN_BYTES. Depths end at MIN_BYTES - K; single rows stop.
+An anchor with more than HOT_ROWS classes (a passage that very many documents share, each time with
+other neighbours) is not compared in one task: its strings are hashed whole, settled within each
+slice, and compared by hash over all tasks.
 
 Null and empty texts have no bytes and nothing removed. Texts shorter than MIN_BYTES lose nothing.
 Very long texts are handled whole, in slices of vectorised work. Equal texts keep the first. An
-empty table gives no rows. Only doc_id and text are read, so other columns can't clash. doc_id is
-taken to be unique; rows that repeat one would lose each other's repeats too. A row without doc_id
-neither loses bytes nor counts as an earlier place.
+empty table gives no rows. Only doc_id and text are read, so other columns can't clash. Rows that
+repeat a doc_id are taken in the order of their texts, each a document of its own, and rows without
+doc_id come after all others.
 """
 
 from __future__ import annotations
@@ -30,22 +33,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from siftwell.llm.common import joined_bytes, released, slices, staged
+from siftwell.llm.common import free_name, joined_bytes, numbered, slices, staged
 
 MIN_BYTES = 100
 K = 32
 LEFT = MIN_BYTES - K
 #: Rows whose suffixes are sorted together; whole anchors only.
 BLOCK_ROWS = 1 << 15
-#: An anchor with more rows to compare is not sorted in one task; its windows are compared by hash.
+#: An anchor with more classes to compare is not sorted in one task; its windows are compared by hash.
 HOT_ROWS = 1 << 15
-#: Hot anchors up to this number are broadcast (8 bytes each); more are joined by a shuffle.
-HOT_BROADCAST = 1 << 20
 #: Text whose anchors are found at once; about a hundred bytes of working memory a byte.
 ANCHOR_BYTES = 1 << 19
 
@@ -143,53 +143,46 @@ def anchor_table(docs: DataFrame) -> DataFrame:
                     anchor = np.where(done, _mixed(anchor + _BASE * np.arange(1, len(anchor) + 1, dtype=np.uint64)), anchor)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(around.view(np.int64)), doc, pa.array((pos << 16) | (left << 8) | right), pa.array(done)], ["anchor", "around", "doc_id", "place", "done"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "anchor long, around long, doc_id long, place long, done boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, around long, doc_id long, place long, done boolean")
 
 
 def settled(table: DataFrame) -> DataFrame:
-    """doc_id, place, anchor: repeats of whole surroundings (anchor null), and rows to be compared byte by byte.
+    """doc_id, place, anchor: repeats of whole surroundings (anchor null), and the first row of each class.
 
-    Streams over rows sorted by anchor and surroundings; holds one row between batches.
+    Streams over rows sorted by anchor and surroundings, dealt by both: the classes of a frequent
+    anchor go to all tasks.
     """
     cols = ("anchor", "around", "doc_id", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: tuple[int, int, int] | None = None  # the first row of the anchor that a batch ended in, until it is sent
         last: tuple[int, int] | None = None
         for batch in batches:
-            done = batch.filter(batch.column("done"))
-            if done.num_rows:
-                yield pa.RecordBatch.from_arrays([done.column("doc_id"), done.column("place"), pa.nulls(done.num_rows, pa.int64())], ["doc_id", "place", "anchor"])
-                batch = batch.filter(pc.invert(batch.column("done")))
+            done = batch.column("done").to_numpy(zero_copy_only=False)
             anchor, around, doc, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in cols)
             n = len(anchor)
             if not n:
                 continue
-            new_anchor, new_class = np.ones(n, bool), np.ones(n, bool)
-            new_anchor[1:] = anchor[1:] != anchor[:-1]
-            new_class[1:] = new_anchor[1:] | (around[1:] != around[:-1])
-            if last is not None and anchor[0] == last[0]:
-                new_anchor[0], new_class[0] = False, around[0] != last[1]
-            first = np.maximum.accumulate(np.where(new_anchor, np.arange(n), -1))
-            more = new_class & ~new_anchor
-            send = more.copy()
-            send[first[more & (first >= 0)]] = True
-            again = ~new_class & ((place >> 8 & 255) + (place & 255) >= MIN_BYTES)
-            out = [(doc[again], place[again], anchor[again], np.ones(int(again.sum()), bool)), (doc[send], place[send], anchor[send], np.zeros(int(send.sum()), bool))]
-            if head is not None and (more & (first < 0)).any():
-                out.append((np.array([head[1]]), np.array([head[2]]), np.array([head[0]]), np.zeros(1, bool)))
-                head = None
-            if first[-1] >= 0:
-                k = int(first[-1])
-                head = None if send[k] else (int(anchor[k]), int(doc[k]), int(place[k]))
-            last = int(anchor[-1]), int(around[-1])
-            doc_o, place_o, anchor_o, null = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(doc_o), pa.array(place_o), pa.array(anchor_o, mask=null)], ["doc_id", "place", "anchor"])
-
-    ordered = table.repartition("anchor").sortWithinPartitions("done", "anchor", "around", "doc_id", "place")
+            first = np.ones(n, bool)
+            first[1:] = (anchor[1:] != anchor[:-1]) | (around[1:] != around[:-1])
+            first[0] = last != (anchor[0], around[0])
+            first |= done
+            last = None if done[-1] else (anchor[-1], around[-1])
+            whole = (place >> 8 & 255) + (place & 255) >= MIN_BYTES
+            send = np.where(first, True, whole)
+            null = ~first | done
+            yield pa.RecordBatch.from_arrays([pa.array(doc[send]), pa.array(place[send]), pa.array(anchor[send], mask=null[send])], ["doc_id", "place", "anchor"])
+
+    ordered = table.repartition("anchor", "around").sortWithinPartitions("done", *cols)
     return ordered.mapInArrow(run, "doc_id long, place long, anchor long")
 
 
+def contested(found: DataFrame) -> DataFrame:
+    """doc_id, place, anchor, classes: the firsts of classes whose anchor has several."""
+    firsts = found.where("anchor is not null")
+    several = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    return firsts.join(several, "anchor").select("doc_id", "place", "anchor", "classes")
+
+
 def surroundings(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """anchor, doc_id, place, bytes: the text around each row's anchor."""
 
@@ -214,6 +207,34 @@ def surroundings(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(by_doc, "doc_id").mapInArrow(run, "anchor long, doc_id long, place long, bytes binary")
 
 
+def common_prefixes(group: np.ndarray, suffix: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes within their groups, and the common prefix of each with the one before it.
+
+    Breadth-first by increasing value: at step v every open interval is split by its rows' byte v, and
+    the borders that this makes have common prefix v. Intervals of one row are done; what is still
+    together at MIN_BYTES shares as much. The first of a group has -1. Rows come by group.
+    """
+    order = np.arange(len(group))
+    common = np.full(len(group), MIN_BYTES)
+    common[:1] = -1
+    common[1:][group[1:] != group[:-1]] = -1
+    at, interval = order, group.astype(np.int64)
+    for v in range(K, MIN_BYTES):  # the anchor's own bytes are shared by all
+        alone = np.bincount(interval)[interval] < 2
+        at, interval = at[~alone], interval[~alone]
+        if not len(at):
+            break
+        rows = order[at]
+        key = interval * 257 + np.where(right[rows] > v, suffix[rows, v].astype(np.int64) + 1, 0)  # an end comes before all bytes
+        by = np.argsort(key, kind="stable")
+        key, order[at] = key[by], rows[by]
+        edge = (key[1:] != key[:-1]) | (key[1:] % 257 == 0)
+        inside = key[1:] // 257 == key[:-1] // 257
+        common[at[1:][edge & inside]] = v
+        interval = np.concatenate([[0], np.cumsum(edge | ~inside)])
+    return order, common
+
+
 def expanded(group: np.ndarray, left: np.ndarray, right: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row, the least and the greatest l of its repeated strings (which start l bytes before the anchor); -1: none.
 
@@ -224,15 +245,7 @@ def expanded(group: np.ndarray, left: np.ndarray, right: np.ndarray, data: np.nd
     middle = offsets[:-1] + left
     take = lambda at, ok: np.where(ok, data[np.clip(at, 0, len(data) - 1)], 0)
     suffix = take(middle[:, None] + np.arange(MIN_BYTES), np.arange(MIN_BYTES) < right[:, None]).astype(np.uint8)
-    packed = np.zeros((n, -(-MIN_BYTES // 8) * 8), np.uint8)
-    packed[:, :MIN_BYTES] = suffix
-    words = packed.view(">u8").astype(np.uint64)
-    order = np.lexsort([right, *words.T[::-1], group])  # the suffix array of the sampled suffixes
-    same = suffix[order[1:]] == suffix[order[:-1]]
-    common = np.where(same.all(axis=1), MIN_BYTES, same.argmin(axis=1))
-    common = np.minimum(common, np.minimum(right[order[1:]], right[order[:-1]]))
-    common[group[order[1:]] != group[order[:-1]]] = -1
-    common = np.concatenate([[-1], common])  # common prefix with the row before
+    order, common = common_prefixes(group, suffix, right)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     before = take(middle[:, None] - 1 - np.arange(LEFT), np.arange(LEFT) < left[:, None]).astype(np.uint8)  # the transform's columns
@@ -346,29 +359,24 @@ def frequent_repeats(around: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([key, docs, pa.array(a), pa.array(b)], ["key", "doc_id", "start", "end"])
 
     rows = staged(around.mapInArrow(run, "key long, doc_id long, start long, end long"), "windows")
-    earlier = W.partitionBy("key").orderBy("doc_id", "start")
-    again = rows.where("key is not null").withColumn("n", F.row_number().over(earlier)).where("n > 1")
-    return rows.where("key is null").drop("key").unionByName(again.drop("key", "n"))
+    keyed = rows.where("key is not null")
+    # the smallest place of each key is summed up before the shuffle; joins of skewed keys are split
+    first = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = keyed.join(first, "key").where(F.struct("doc_id", "start") != F.col("first"))
+    return rows.where("key is null").drop("key").unionByName(again.select("doc_id", "start", "end"))
 
 
 def compared_bytes(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """doc_id, start, end of the repeats among rows (doc_id, place, anchor) whose surroundings differ."""
-    hot = staged(rows.groupBy("anchor").count().where(F.col("count") > HOT_ROWS).select("anchor"), "hot")
-    n = hot.count()
-    if not n:
-        return repeats(surroundings(docs, rows))
-    hot = F.broadcast(hot) if n <= HOT_BROADCAST else hot
-    rest = repeats(surroundings(docs, rows.join(hot, "anchor", "left_anti")))
-    return rest.unionByName(frequent_repeats(surroundings(docs, rows.join(hot, "anchor", "left_semi"))))
+    """doc_id, start, end of the repeats among rows (doc_id, place, anchor, classes) whose surroundings differ."""
+    usual = repeats(surroundings(docs, rows.where(F.col("classes") <= HOT_ROWS)))
+    hot = rows.where(F.col("classes") > HOT_ROWS)
+    return usual if hot.isEmpty() else usual.unionByName(frequent_repeats(surroundings(docs, hot)))
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, spans ARRAY<LONG> (start << 16 | length): what to remove, not yet merged."""
-    spark = docs.sparkSession
+    """doc_id, spans ARRAY<LONG> (start << 16 | length): what to remove, not yet merged. doc_id is a key here."""
     found = staged(settled(anchor_table(docs)), "anchors")
-    released(spark)
-    compared = staged(compared_bytes(docs, found.where("anchor is not null")), "repeats")
-    released(spark)
+    compared = staged(compared_bytes(docs, staged(contested(found), "contested")), "repeats")
     whole = found.where("anchor is null").select("doc_id", (F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(255)).alias("start"), (F.shiftright("place", 16) + F.col("place").bitwiseAND(255)).alias("end"))
     both = whole.unionByName(compared).select("doc_id", F.shiftleft("start", 16).bitwiseOR(F.col("end") - F.col("start")).alias("span"))
     return both.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
@@ -407,6 +415,14 @@ def whole_characters(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
+def _with_spans(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with what to remove from each, and that column's name."""
+    docs, key = numbered(docs)
+    name = free_name(docs, "spans")
+    found = spans(docs.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), F.col("spans").alias(name))
+    return docs.join(found, key, "left").drop(key), name
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
 
@@ -421,25 +437,22 @@ def digests(docs: DataFrame) -> DataFrame:
             n, removed, count, sha = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return docs.select("doc_id", "text").join(spans(docs), "doc_id", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    both, name = _with_spans(docs.select("doc_id", "text"))
+    return both.select("doc_id", "text", F.col(name).alias("spans")).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+@F.arrow_udf(StringType())
+def _shortened(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    out = []
+    for k, text in enumerate(texts.to_pylist()):
+        if text and spans[k].is_valid:
+            raw = text.encode("utf-8")
+            text = _cut(raw, whole_characters(raw, merged(spans[k].values.to_numpy()))).decode("utf-8")
+        out.append(text)
+    return pa.array(out, pa.string())
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with their columns, texts without repeats (characters are removed whole or not at all)."""
-    schema = docs.schema
-    names = schema.names
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("_spans")
-            texts = []
-            for k, text in enumerate(batch.column("text")):
-                text = text.as_py()
-                if lists[k].is_valid and text:
-                    raw = text.encode("utf-8")
-                    text = _cut(raw, whole_characters(raw, merged(lists[k].values.to_numpy()))).decode("utf-8")
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
-
-    found = spans(docs).withColumnRenamed("spans", "_spans")
-    return docs.join(found, "doc_id", "left").select(*names, "_spans").mapInArrow(run, schema)
+    both, name = _with_spans(docs)
+    return both.withColumn("text", _shortened("text", name)).select(*docs.columns)
