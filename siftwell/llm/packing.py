@@ -2,10 +2,12 @@
 
 Overlong documents are first cut into full windows; what remains is packed, longest piece first,
 each into the tightest open window that holds it. A segment tree over remaining capacities finds
-that window. Pieces are dealt by a hash of their document into groups of about PIECES_PER_GROUP,
+that window. Pieces are dealt evenly into groups of about PIECES_PER_GROUP,
 each packed alone, so a group's padding is at most about one window and no task sees all pieces.
 
-Null and empty texts have the end token alone. Ties are broken by doc_id and start. An empty
+Null and empty texts have the end token alone. Ties are broken by doc_id and start. Rows that repeat
+a doc_id, or have none, are documents of their own; pieces are dealt by their places in the staged
+table, so such rows spread like any others. An empty
 table gives no rows. Only doc_id and text are read, so other columns can't clash.
 """
 
@@ -130,7 +132,7 @@ def pack(cut: DataFrame, window: int = WINDOW, per_group: int = PIECES_PER_GROUP
                 off.append(o)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(seq, pa.int64()), pa.array(off, pa.int64())], [*names, "sequence_id", "offset"])
 
-    dealt = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long"))
+    dealt = cut.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     ordered = dealt.repartition(groups, "_group").sortWithinPartitions("_group", F.desc("length"), "doc_id", "start")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return ordered.mapInArrow(run, f"{schema}, sequence_id long, offset long")

@@ -4,14 +4,17 @@ A record's key is hashed into one of SLOTS virtual slots, for ever. Bytes are su
 small versioned map says which shard owns which slot. Rebalancing edits the map: it moves whole
 slots and leaves all others where they are; records are never hashed anew.
 
-The driver sees one row a slot (SLOTS rows, whatever the input). A null text has no bytes. A null
-key is hashed as such and has a slot like any other. An empty table gives no rows and an even map.
+Every version of the map is stored, and records are assigned from the stored table.
+
+The driver sees one row a slot (SLOTS rows, whatever the input). A null text has no bytes. Rows
+without a key are dealt by their texts, as all of them in one slot could not be moved apart. An empty table gives no rows and an even map.
 Only the key and text are read, so other columns can't clash. Repeated keys share a slot.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import staged
+from siftwell.llm.common import staged, staging_root
 
 SLOTS = 8192
 ROW_BYTES = 16
@@ -97,8 +100,8 @@ class SlotMap:
         return SlotMap(tuple(owner), shards, self.version + 1)
 
     def rows(self, spark: SparkSession) -> DataFrame:
-        rows = [(self.version, slot, s) for slot, s in enumerate(self.owner)]
-        return spark.createDataFrame(rows, "version int, virtual_slot int, shard int")
+        rows = [(self.version, self.shards, slot, s) for slot, s in enumerate(self.owner)]
+        return spark.createDataFrame(rows, "version int, shards int, virtual_slot int, shard int")
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Append this version to the table of all versions."""
@@ -110,8 +113,7 @@ class SlotMap:
         df = spark.read.parquet(path)
         version = version or df.agg(F.max("version")).first()[0]
         rows = df.where(F.col("version") == version).orderBy("virtual_slot").collect()
-        owner = tuple(r["shard"] for r in rows)
-        return cls(owner, max(owner) + 1, version)
+        return cls(tuple(r["shard"] for r in rows), rows[0]["shards"], version)
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -120,7 +122,7 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(ROW_BYTES)).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(slots)).cast("int").alias("virtual_slot"),
     )
 
 
@@ -132,16 +134,30 @@ def slot_sizes(rec: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]
     return size, count
 
 
-def assign(docs: DataFrame, shards: int, slot_map: SlotMap | None = None, slots: int = SLOTS) -> tuple[DataFrame, SlotMap]:
+def stored_map(spark: SparkSession, sizes: Sequence[int], shards: int, store: str, first: bool) -> SlotMap:
+    """The newest stored version of the map, edited for these sizes if that moves slots; `first`: there is none yet."""
+    if first:
+        SlotMap.balanced(sizes, shards).save(spark, store)
+    now = SlotMap.load(spark, store)
+    edited = now.rebalanced(sizes)
+    if edited.owner != now.owner:
+        edited.save(spark, store)
+    return SlotMap.load(spark, store)
+
+
+def assign(docs: DataFrame, shards: int, slot_map: SlotMap | None = None, slots: int = SLOTS, store: str | None = None) -> tuple[DataFrame, SlotMap]:
     """Each document's shard and its gapless place in it, and the map used.
 
-    Places are those of its slot in the shard (a prefix sum over slots) plus those in the slot, so
-    numbering sorts one slot at a time.
+    store: a table of map versions that an earlier run has left, to start from and to add to; by
+    default a new one in the shared folder. Places are those of its slot in the shard (a prefix sum
+    over slots) plus those in the slot, so numbering sorts one slot at a time.
     """
     spark = docs.sparkSession
     rec = staged(records(docs, slots), "slots")
     sizes, counts = slot_sizes(rec, slots)
-    slot_map = slot_map or SlotMap.balanced(sizes, shards).rebalanced(sizes)
+    if slot_map is None:
+        place = store or f"{staging_root(spark)}/slot_map-{uuid.uuid4().hex}"
+        slot_map = stored_map(spark, sizes, shards, place, store is None)
     before, so_far = [], [0] * slot_map.shards
     for slot, s in enumerate(slot_map.owner):
         before.append((slot, s, so_far[s]))
