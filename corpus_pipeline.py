@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import packing, puquality, rules, simhash, suffixdedup
-from siftwell.llm.common import staged, table
+from siftwell.llm.common import numbered, staged, table
 from siftwell.llm.queries import TOKENIZER
 
 
@@ -25,9 +25,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of smallest doc_id stays."""
-    first = simhash.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(first, "doc_id", "left_semi")
+    """Of each group of near duplicates the document of smallest doc_id stays.
+
+    Of rows that repeat a doc_id each is a document of its own, in the order of their texts; rows
+    without doc_id come after all others. Null and empty texts are one group.
+    """
+    docs, key = numbered(docs)
+    groups = simhash.near_duplicates(docs.select(F.col(key).alias("doc_id"), "text"))
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key))
+    return docs.join(first, key, "left_semi").drop(key)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
