@@ -8,7 +8,8 @@ half of the next (one of its halves must agree, as one bit at most differs). Eve
 has its whole chain tested before the full Hamming check.
 
 Documents meet as distinct fingerprints; a fingerprint shared by many documents is one row.
-A bucket's members are linked by a spanning forest, never by all pairs.
+A bucket's members are linked by a spanning forest, never by all pairs. A bucket of more than DENSE
+fingerprints is cut into parts, and each two parts meet in a group of their own, so no task holds it.
 
 Texts without words (null and empty ones too) have fingerprint zero and link like any other.
 Texts of any length are hashed whole. An empty table gives no rows. Only doc_id and text are
@@ -35,8 +36,12 @@ SEED = 42
 SEGMENTS, SEGMENT_BITS = 4, 16
 #: Rows of a bucket that are compared at once.
 BLOCK = 2048
-#: Tasks that the rows of one fingerprint are dealt to.
-SALTS = 8
+#: Fingerprints of a bucket that meet in one group, about.
+DENSE = 1 << 13
+#: Rows from which a fingerprint's rows are not shuffled, and fingerprints that this may hold for (what is broadcast).
+HOT_ROWS, MOST_HOT = 1 << 14, 1 << 20
+#: Bits of a candidate key; a group of a cut bucket has its two parts above them.
+KEY_BITS, PART_BITS = 28, 18
 #: Shingles whose bits are counted at once.
 COUNT_BLOCK = 1 << 16
 
@@ -136,7 +141,7 @@ def links_of_sorted(key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[n
     """Links among rows that are sorted by key."""
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(edge, len(key)))
-    start = key >> np.uint64(SEGMENT_BITS + SEGMENT_BITS // 2 + 1)
+    start = (key & np.uint64((1 << KEY_BITS) - 1)) >> np.uint64(SEGMENT_BITS + SEGMENT_BITS // 2 + 1)
     a, b = [], []
     for gap in (1, 2, 3):  # buckets of up to four rows, all buckets at once
         first = np.concatenate([edge[size == s] + k for s in range(gap + 1, 5) for k in range(s - gap)] or [np.zeros(0, np.int64)]).astype(np.int64)
@@ -149,6 +154,20 @@ def links_of_sorted(key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[n
     return np.concatenate(a), np.concatenate(b)
 
 
+def grouped(rows: DataFrame) -> DataFrame:
+    """The rows with the keys of their groups: a row of a cut bucket is in a group with every part of it."""
+    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    dense = staged(size.where(F.col("n") > DENSE).select("key", F.ceil(F.col("n") / DENSE).alias("parts")), "dense")
+    if dense.isEmpty():
+        return rows
+    parts = F.col("parts")
+    mine = F.pmod(F.xxhash64("fp"), parts)
+    cut = rows.join(dense, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    pair = F.shiftleft(F.least("mine", "other"), KEY_BITS).bitwiseOR(F.shiftleft(F.greatest("mine", "other"), KEY_BITS + PART_BITS))
+    whole = rows.join(dense.select("key"), "key", "left_anti")
+    return whole.unionByName(cut.select(F.col("key").bitwiseOR(pair).alias("key"), "fp", "rep"))
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b) representatives of fingerprints that differ in 1 to 3 bits; a forest of each bucket's links.
 
@@ -179,18 +198,20 @@ def links(distinct: DataFrame) -> DataFrame:
         if held:
             yield take(False)
 
-    rows = distinct.select("fp", "rep").mapInArrow(keyed, "key long, fp long, rep long")
+    rows = grouped(distinct.select("fp", "rep").mapInArrow(keyed, "key long, fp long, rep long"))
     return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(joined, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every document."""
     prints = staged(fingerprints(docs), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     reps = components(links(distinct.where("rep is not null")))
-    found = distinct.join(reps, distinct["rep"] == reps["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    found = distinct.join(reps, distinct["rep"] == reps["node"], "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
+    found = staged(found, "components")
+    # a fingerprint may be that of a third of all rows: at most MOST_HOT such ones are broadcast
+    many = F.col("n") > max(HOT_ROWS, prints.count() // MOST_HOT)
+    hot = F.broadcast(found.where(many))
+    usual = prints.join(hot.select("fp"), "fp", "left_anti").join(found.where(~many), "fp")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    # a fingerprint may be that of a third of all rows: its rows go to SALTS tasks
-    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return dealt.join(found, ["fp", "salt"]).select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return usual.unionByName(prints.join(hot, "fp")).select("doc_id", hexed.alias("fingerprint"), "component_id")
