@@ -24,10 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siftwell.llm.common import kept, slices
+from siftwell.llm.common import kept, slices, trimmed
 
-#: Distinct words, and distinct pre-tokens, that a worker keeps; a store beyond it is emptied and filled anew.
-WORD_STORE, PIECE_STORE = 1_000_000, 600_000
+#: Distinct words and pre-tokens that a worker keeps (about 200 bytes each); a store beyond it is emptied and filled anew.
+WORD_STORE = 800_000
+#: New words of one batch that leave much memory free behind them.
+MANY = 5000
 #: New words that are split at once.
 LEARNED = 1 << 16
 _NEVER = 1 << 40
@@ -226,8 +228,6 @@ class SpeculativeBPE:
         return ids
 
     def reset(self) -> None:
-        #: Packed ids (unsigned 32-bit) of pre-tokens that are not words of their own, or not yet.
-        self.pieces: dict[str, bytes] = {}
         self.codes: dict[str | int, int] = {}
         self.count = 0
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -237,15 +237,26 @@ class SpeculativeBPE:
 
     def _learn(self, words: list[str | int]) -> None:
         """Store the ids of words as they stand between white space; an int is a special token's id."""
-        parts = [None if isinstance(w, int) else [w] if len(found := self.find(w)) == 1 and found[0] == w else found for w in words]
-        if len(self.pieces) > PIECE_STORE:
-            self.pieces = {}
-        pieces = self.pieces
-        new = list(dict.fromkeys(p for ps in parts if ps for p in ps if p not in pieces))
+        parts = [None if isinstance(w, int) else self.find(w) for w in words]
+        codes, flat, start, length = self.codes, self.flat, self.start, self.length
+        first, many = [ps[0] for ps in parts if ps and len(ps) == 1], [p for ps in parts if ps and len(ps) > 1 for p in ps]
+        new = [p for p in dict.fromkeys(chain(first, many)) if p not in codes]
+        made: dict[str, bytes] = {}
         for a in range(0, len(new), LEARNED):
             part = new[a : a + LEARNED]
-            pieces.update(zip(part, self._packed(self.split_words(part))))
-        split = [int(w).to_bytes(4, "little") if ps is None else pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps]) for w, ps in zip(words, parts)]
+            made.update(zip(part, self._packed(self.split_words(part))))
+
+        def packed(p: str) -> bytes:
+            if (raw := made.get(p)) is None:
+                at = start[c := codes[p]]
+                raw = flat[at : at + length[c]].tobytes()
+            return raw
+
+        split = [int(w).to_bytes(4, "little") if ps is None else packed(ps[0]) if len(ps) == 1 else b"".join(map(packed, ps)) for w, ps in zip(words, parts)]
+        have = set(words)  # pre-tokens are words of other texts: they are kept as such
+        more = [p for p in dict.fromkeys(many) if p in made and p not in have]
+        words = words + more
+        split += [made[p] for p in more]
         lens = np.fromiter(map(len, split), np.int64, len(split)) // 4
         n, k = int(lens.sum()), self.count
         while self.used + n > len(self.flat):
@@ -290,6 +301,7 @@ class SpeculativeBPE:
         """A code for each word of all texts, and the number of words of each text."""
         if self.count > WORD_STORE:
             self.reset()
+            trimmed()
         split = [self.words(t) if t else [] for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         listed = list(chain.from_iterable(split))
@@ -302,6 +314,8 @@ class SpeculativeBPE:
                 gc.enable()
             for i in missing:
                 found[i] = self.codes[listed[i]]
+            if len(missing) > MANY:
+                trimmed()
         return np.array(found, np.int64), counts
 
     def ids_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 #: Text handled at once by the vectorised kernels; bounds a worker's memory for any batch size.
 SLICE_BYTES = 2 << 20
 
-CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is staged.
+STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -48,16 +50,19 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write a table in the shared folder and read it back: cuts lineage and survives lost executors.
 
     Shuffle files of the write are of no use once the table is there, so Spark drops them at its end.
+    Batches for Python are bounded by bytes: long texts don't come by the ten thousand.
     path: where an earlier table of the caller's, no longer needed, is overwritten.
     """
     spark = df.sparkSession
     path = path or f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_SHUFFLES, None)
-    spark.conf.set(CLEAN_SHUFFLES, "true")
+    before = {k: spark.conf.get(k, None) for k in STAGING}
+    for k, v in STAGING.items():
+        spark.conf.set(k, v)
     try:
         df.write.mode("overwrite").parquet(path)
     finally:
-        spark.conf.unset(CLEAN_SHUFFLES) if before is None else spark.conf.set(CLEAN_SHUFFLES, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -88,6 +93,17 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 _KEPT: dict = {}
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def trimmed() -> None:
+    """Give memory that is free, but held in pieces by the allocators, back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def kept(key, make=lambda: None):
@@ -98,6 +114,7 @@ def kept(key, make=lambda: None):
     """
     if key not in _KEPT:
         _KEPT.clear()
+        trimmed()
         _KEPT[key] = make()
     return _KEPT[key]
 
