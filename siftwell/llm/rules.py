@@ -110,8 +110,14 @@ def passes(rules=THRESHOLDS) -> Column:
 
 
 def _verdicts(docs: DataFrame, rules) -> DataFrame:
+    """row, the measures, base_failed and kept of each document.
+
+    They come out of a generator: a filter on a plain projection would be pushed below it, and the
+    nested measures written out again for every place that names them.
+    """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return measured(docs).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & passes(rules))
+    df = measured(docs).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & passes(rules))
+    return df.select("row", F.inline(F.array(F.struct(*[c for c in df.columns if c != "row"]))))
 
 
 def judged(docs: DataFrame, rules=THRESHOLDS) -> DataFrame:
@@ -121,10 +127,5 @@ def judged(docs: DataFrame, rules=THRESHOLDS) -> DataFrame:
 
 
 def passing(docs: DataFrame, rules=THRESHOLDS) -> DataFrame:
-    """The documents that are kept, with their columns.
-
-    The verdict goes through a generator, as a plain filter would be pushed below the projections
-    and its nested measures written out again for every place that names them.
-    """
-    row = F.when(F.col("kept"), F.array("row")).otherwise(F.array().cast("array<" + docs.schema.simpleString() + ">"))
-    return _verdicts(docs, rules).select(F.explode_outer(row).alias("row")).where(F.col("row").isNotNull()).select("row.*")
+    """The documents that are kept, with their columns."""
+    return _verdicts(docs, rules).where("kept").select("row.*")
