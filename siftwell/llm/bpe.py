@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siftwell.llm.common import kept, slices, trimmed
+from siftwell.llm.common import kept, slices, tidy, trimmed
 
 #: Distinct words and pre-tokens that a worker keeps (about 200 bytes each); a store beyond it is emptied and filled anew.
-WORD_STORE = 800_000
+WORD_STORE = 600_000
 #: New words of one batch that leave much memory free behind them.
 MANY = 5000
 #: New words that are split at once.
@@ -235,9 +235,18 @@ class SpeculativeBPE:
         self.length = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def _parts(self, word: str) -> list[str]:
+        """The pre-tokens of a word; the usual ones are told without the pattern."""
+        if word.isascii():
+            if word.isalpha():
+                return [word]
+            if word[:-1].isalpha() and word[-1] in ".,;:!?":
+                return [word[:-1], word[-1]]
+        return self.find(word)
+
     def _learn(self, words: list[str | int]) -> None:
         """Store the ids of words as they stand between white space; an int is a special token's id."""
-        parts = [None if isinstance(w, int) else self.find(w) for w in words]
+        parts = [None if isinstance(w, int) else self._parts(w) for w in words]
         codes, flat, start, length = self.codes, self.flat, self.start, self.length
         first, many = [ps[0] for ps in parts if ps and len(ps) == 1], [p for ps in parts if ps and len(ps) > 1 for p in ps]
         new = [p for p in dict.fromkeys(chain(first, many)) if p not in codes]
@@ -423,4 +432,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 text_sha = [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -106,6 +106,16 @@ def trimmed() -> None:
         _trim(0)
 
 
+def tidy(run):
+    """A function over batches that gives free memory back at its end: idle workers wait in the memory they had."""
+
+    def whole(batches):
+        yield from run(batches)
+        trimmed()
+
+    return whole
+
+
 def kept(key, make=lambda: None):
     """What a worker process keeps between tasks, of one operator at a time.
 
@@ -116,6 +126,7 @@ def kept(key, make=lambda: None):
         _KEPT.clear()
         trimmed()
         _KEPT[key] = make()
+        trimmed()
     return _KEPT[key]
 
 

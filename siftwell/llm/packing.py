@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import bpe
-from siftwell.llm.common import slices, staged
+from siftwell.llm.common import slices, staged, tidy
 
 WINDOW = 4096
 END_ID = 2
 PIECES_PER_GROUP = 20_000
+#: Text that is encoded at once.
+TEXT_BYTES = 1 << 20
 #: Sequence numbers of a group start at its number times this.
 GROUP_STRIDE = 1 << 32
 
@@ -95,7 +97,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.opened(blob.value, bpe.LibraryBPE)
         for batch in batches:
-            for i, j in slices(batch, "text"):
+            for i, j in slices(batch, "text", TEXT_BYTES):
                 part = batch.slice(i, j - i)
                 ids, at = enc.encode_batch(part.column("text").to_pylist())
                 n = len(at) - 1
@@ -110,7 +112,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
                 crc = [zlib.crc32(raw[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * length).tolist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[doc])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), PIECES)
 
 
 def pack(cut: DataFrame, window: int = WINDOW, per_group: int = PIECES_PER_GROUP) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import fold, joined_bytes, kept, slices, unit_hash
+from siftwell.llm.common import fold, joined_bytes, kept, slices, trimmed, unit_hash
 
 POSITIVES, UNLABELLED = 20_000, 20_000
 HIDDEN = 16
@@ -34,6 +34,8 @@ SPAN = 64
 SHORT = 100
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
+#: Text that is measured at once.
+TEXT_BYTES = 1 << 19
 
 _CLASSES = np.zeros(256, np.int64)  # byte classes: 0 other; ASCII marks one by one
 _CLASSES[ord("A") : ord("Z") + 1] = 1
@@ -214,8 +216,9 @@ def accepted(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD)
         kept("puquality")
         for col in texts:
             part = pa.RecordBatch.from_arrays([col], ["text"])
-            out = [_scores(part.slice(i, j - i), shared.value) for i, j in slices(part, "text")]
+            out = [_scores(part.slice(i, j - i), shared.value) for i, j in slices(part, "text", TEXT_BYTES)]
             yield pa.array(np.concatenate(out) if out else np.zeros(0))
+        trimmed()
 
     return docs.where(score(docs["text"]) >= threshold)
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import LOWER_AZ, slices, staged
+from siftwell.llm.common import LOWER_AZ, slices, staged, tidy
 from siftwell.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 fp = np.array([majority_bits(shingle_hashes(t)) for t in part.column("text").to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def ring_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +199,7 @@ def links(distinct: DataFrame) -> DataFrame:
             yield take(False)
 
     rows = grouped(distinct.select("fp", "rep").mapInArrow(keyed, "key long, fp long, rep long"))
-    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(joined, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(tidy(joined), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -37,17 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from siftwell.llm.common import free_name, joined_bytes, numbered, slices, staged
+from siftwell.llm.common import free_name, joined_bytes, numbered, slices, staged, tidy, trimmed
 
 MIN_BYTES = 100
 K = 32
 LEFT = MIN_BYTES - K
 #: Rows whose suffixes are sorted together; whole anchors only.
-BLOCK_ROWS = 1 << 15
+BLOCK_ROWS = 1 << 13
 #: An anchor with more classes to compare is not sorted in one task; its windows are compared by hash.
 HOT_ROWS = 1 << 15
 #: Text whose anchors are found at once; about a hundred bytes of working memory a byte.
-ANCHOR_BYTES = 1 << 19
+ANCHOR_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_HASH = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -143,7 +143,7 @@ def anchor_table(docs: DataFrame) -> DataFrame:
                     anchor = np.where(done, _mixed(anchor + _BASE * np.arange(1, len(anchor) + 1, dtype=np.uint64)), anchor)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(around.view(np.int64)), doc, pa.array((pos << 16) | (left << 8) | right), pa.array(done)], ["anchor", "around", "doc_id", "place", "done"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, around long, doc_id long, place long, done boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "anchor long, around long, doc_id long, place long, done boolean")
 
 
 def settled(table: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def settled(table: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc[send]), pa.array(place[send]), pa.array(anchor[send], mask=null[send])], ["doc_id", "place", "anchor"])
 
     ordered = table.repartition("anchor", "around").sortWithinPartitions("done", *cols)
-    return ordered.mapInArrow(run, "doc_id long, place long, anchor long")
+    return ordered.mapInArrow(tidy(run), "doc_id long, place long, anchor long")
 
 
 def contested(found: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def surroundings(docs: DataFrame, rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([flat.field("anchor"), doc, pa.array(place), cut], ["anchor", "doc_id", "place", "bytes"])
 
     by_doc = rows.groupBy("doc_id").agg(F.collect_list(F.struct("place", "anchor")).alias("rows"))
-    return docs.select("doc_id", "text").join(by_doc, "doc_id").mapInArrow(run, "anchor long, doc_id long, place long, bytes binary")
+    return docs.select("doc_id", "text").join(by_doc, "doc_id").mapInArrow(tidy(run), "anchor long, doc_id long, place long, bytes binary")
 
 
 def common_prefixes(group: np.ndarray, suffix: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,7 +313,7 @@ def repeats(around: DataFrame) -> DataFrame:
             yield settle(held)
 
     ordered = around.repartition("anchor").sortWithinPartitions(*cols)
-    return ordered.mapInArrow(run, "doc_id long, start long, end long")
+    return ordered.mapInArrow(tidy(run), "doc_id long, start long, end long")
 
 
 def window_hashes(anchor: np.ndarray, left: np.ndarray, right: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -358,7 +358,7 @@ def frequent_repeats(around: DataFrame) -> DataFrame:
                 b = np.concatenate([start[first] + MIN_BYTES, (place >> 16)[met] - lo[met] + MIN_BYTES])
                 yield pa.RecordBatch.from_arrays([key, docs, pa.array(a), pa.array(b)], ["key", "doc_id", "start", "end"])
 
-    rows = staged(around.mapInArrow(run, "key long, doc_id long, start long, end long"), "windows")
+    rows = staged(around.mapInArrow(tidy(run), "key long, doc_id long, start long, end long"), "windows")
     keyed = rows.where("key is not null")
     # the smallest place of each key is summed up before the shuffle; joins of skewed keys are split
     first = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -438,18 +438,21 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     both, name = _with_spans(docs.select("doc_id", "text"))
-    return both.select("doc_id", "text", F.col(name).alias("spans")).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return both.select("doc_id", "text", F.col(name).alias("spans")).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 @F.arrow_udf(StringType())
-def _shortened(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for k, text in enumerate(texts.to_pylist()):
-        if text and spans[k].is_valid:
-            raw = text.encode("utf-8")
-            text = _cut(raw, whole_characters(raw, merged(spans[k].values.to_numpy()))).decode("utf-8")
-        out.append(text)
-    return pa.array(out, pa.string())
+def _shortened(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, spans in batches:
+        out = []
+        for k, text in enumerate(texts):
+            text = text.as_py()
+            if text and spans[k].is_valid:
+                raw = text.encode("utf-8")
+                text = _cut(raw, whole_characters(raw, merged(spans[k].values.to_numpy()))).decode("utf-8")
+            out.append(text)
+        yield pa.array(out, pa.string())
+    trimmed()
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
