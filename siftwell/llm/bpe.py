@@ -18,7 +18,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from siftwell.llm.common import kept, slices, tidy, trimmed
 
 #: Distinct words and pre-tokens that a worker keeps (about 200 bytes each); a store beyond it is emptied and filled anew.
-WORD_STORE = 600_000
+WORD_STORE = 1_200_000
 #: New words of one batch that leave much memory free behind them.
-MANY = 5000
+MANY = 20_000
 #: New words that are split at once.
 LEARNED = 1 << 16
 _NEVER = 1 << 40
@@ -65,7 +65,8 @@ def byte_letters() -> list[str]:
 class SpeculativeBPE:
     """Encoder and decoder for a word-level BPE file of the tokenizers library (word ends marked)."""
 
-    def __init__(self, blob: bytes):
+    def __init__(self, blob: bytes, most: int = WORD_STORE):
+        self.most = most
         spec = json.loads(blob)
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -308,24 +309,25 @@ class SpeculativeBPE:
 
     def word_codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A code for each word of all texts, and the number of words of each text."""
-        if self.count > WORD_STORE:
+        if self.count > self.most:
             self.reset()
             trimmed()
         split = [self.words(t) if t else [] for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         listed = list(chain.from_iterable(split))
-        found = list(map(self.codes.get, listed))
-        if missing := [i for i, c in enumerate(found) if c is None]:
+        codes = np.fromiter(map(self.codes.get, listed, repeat(-1)), np.int64, len(listed))
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            unknown = [listed[i] for i in missing.tolist()]
             gc.disable()  # a hundred thousand new lists and no cycles: collections would only walk the stores
             try:
-                self._learn(list(dict.fromkeys(listed[i] for i in missing)))
+                self._learn(list(dict.fromkeys(unknown)))
             finally:
                 gc.enable()
-            for i in missing:
-                found[i] = self.codes[listed[i]]
+            codes[missing] = [self.codes[w] for w in unknown]
             if len(missing) > MANY:
                 trimmed()
-        return np.array(found, np.int64), counts
+        return codes, counts
 
     def ids_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the coded words, and the number of ids of each word."""
@@ -351,10 +353,10 @@ class SpeculativeBPE:
 class LibraryBPE(SpeculativeBPE):
     """The same stores and ids, with new words encoded by the tokenizers library itself."""
 
-    def __init__(self, blob: bytes):
+    def __init__(self, blob: bytes, most: int = WORD_STORE):
         from tokenizers import Tokenizer
 
-        super().__init__(blob)
+        super().__init__(blob, most)
         self.library = Tokenizer.from_str(blob.decode("utf-8"))
         self.closes = np.array([t.endswith(self.suffix) for t in self.text], bool)
 
@@ -372,9 +374,9 @@ class LibraryBPE(SpeculativeBPE):
         return out
 
 
-def opened(blob: bytes, kind: type[SpeculativeBPE] = SpeculativeBPE) -> SpeculativeBPE:
+def opened(blob: bytes, kind: type[SpeculativeBPE] = SpeculativeBPE, most: int = WORD_STORE) -> SpeculativeBPE:
     """One encoder a worker process for each vocabulary."""
-    return kept((kind.__name__, hashlib.md5(blob).digest()), lambda: kind(blob))
+    return kept((kind.__name__, most, hashlib.md5(blob).digest()), lambda: kind(blob, most))
 
 
 def vocabulary(df: DataFrame, path: str):

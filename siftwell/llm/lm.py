@@ -25,7 +25,7 @@ from __future__ import annotations
 import gc
 import math
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -301,16 +301,17 @@ class WordStore:
 
     def codes(self, words: list[bytes]) -> np.ndarray:
         """A code for each word, for as long as the store is not reset."""
-        found = list(map(self.code.get, words))
-        if missing := [i for i, c in enumerate(found) if c is None]:
+        codes = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            unknown = [words[i] for i in missing.tolist()]
             gc.disable()  # many new lists and no cycles: collections would only walk the store
             try:
-                self._learn(list(dict.fromkeys(words[i] for i in missing)))
+                self._learn(list(dict.fromkeys(unknown)))
             finally:
                 gc.enable()
-            for i in missing:
-                found[i] = self.code[words[i]]
-        return np.array(found, np.int64)
+            codes[missing] = [self.code[w] for w in unknown]
+        return codes
 
     def ids(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All subword ids, and the number of ids of each word."""

@@ -90,12 +90,15 @@ def pack_lengths(lengths, window: int = WINDOW) -> list[tuple[int, int]]:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """The pieces of each document's ids (its end token included): full windows, then the rest."""
+def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, word_store: int = bpe.WORD_STORE) -> DataFrame:
+    """The pieces of each document's ids (its end token included): full windows, then the rest.
+
+    word_store: distinct words that a worker keeps, at about 200 bytes each.
+    """
     blob = bpe.vocabulary(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = bpe.opened(blob.value, bpe.LibraryBPE)
+        enc = bpe.opened(blob.value, bpe.LibraryBPE, word_store)
         for batch in batches:
             for i, j in slices(batch, "text", TEXT_BYTES):
                 part = batch.slice(i, j - i)
@@ -140,5 +143,5 @@ def pack(cut: DataFrame, window: int = WINDOW, per_group: int = PIECES_PER_GROUP
     return ordered.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str) -> DataFrame:
-    return pack(pieces(docs, path))
+def pack_documents(docs: DataFrame, path: str, word_store: int = bpe.WORD_STORE) -> DataFrame:
+    return pack(pieces(docs, path, word_store=word_store))
