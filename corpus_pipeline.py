@@ -15,12 +15,12 @@ from siftwell.llm.queries import TOKENIZER
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. A null text counts as empty; equal rows share their fate."""
     return puquality.accepted(docs, puquality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, null and empty texts among them; equal rows share their fate."""
     return rules.passing(docs)
 
 
@@ -37,14 +37,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose what an earlier text has in at least 100 bytes on end."""
+    """Texts lose what an earlier text has in at least 100 bytes on end; null and empty texts stay as they are.
+
+    Earlier: of smaller doc_id, and of rows that repeat one or have none, as in near_dedup.
+    """
     out = suffixdedup.deduplicated(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the texts' ids in sequences of at most 4096."""
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    """Pieces of the texts' ids in sequences of at most 4096. Rows that repeat a doc_id, or have none, count each.
+
+    Workers share their executor's memory with what earlier stages have left, so they keep fewer words.
+    """
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), word_store=600_000)
 
 
 STAGES = [
