@@ -41,10 +41,10 @@ def _c(x: Column | str) -> Column:
 
 
 def normalize_pattern(raw: str) -> str:
-    """Trim; take off one pair of equal outer quotes if none of them stands inside; idempotent."""
+    """Trim; take off one outer pair of equal quotes, unless that leaves a blank or the quote stands inside; idempotent."""
     s = raw.strip()
-    if len(s) >= 2 and s[0] == s[-1] and s[0] in "\"'`" and s[0] not in s[1:-1]:
-        s = s[1:-1].strip()
+    if len(s) >= 2 and s[0] == s[-1] and s[0] in "\"'" and s[1:-1].strip() and s[0] not in s[1:-1]:
+        return s[1:-1]
     return s
 
 
@@ -135,13 +135,13 @@ def fallback_terms(query: Column | str) -> Column:
 
 def route(query: Column | str, anchored: Column | None = None) -> Column:
     """Which search answers a query: literal, identifier or intent."""
-    q = F.trim(_c(query))
-    quotes = q.rlike(r"^(\".+\"|'.+'|`.+`)$")
+    q = F.regexp_replace(_c(query), r"(?U)^\s+|\s+$", "")
+    quotes = q.rlike(r"""^("[^"]*"|'[^']*')\z""") & q.rlike(r"(?U)^.\s*[^\s\"'][\s\S]*$") & (F.length(q) > 2)
     return (
         F.when(anchored if anchored is not None else F.lit(False), "intent")
         .when(quotes, "literal")
-        .when(q.rlike(r"^[A-Za-z_][A-Za-z0-9_]*(::[A-Za-z_][A-Za-z0-9_]*)+$"), "literal")
-        .when(q.rlike(r"^[A-Za-z_][A-Za-z0-9_./-]*$"), "identifier")
+        .when(q.rlike(r"^[A-Za-z_][A-Za-z0-9_]*(::[A-Za-z_][A-Za-z0-9_]*)+\z"), "literal")
+        .when(q.rlike(r"^[A-Za-z_][A-Za-z0-9_./-]*\z"), "identifier")
         .otherwise("intent")
     )
 

@@ -43,7 +43,7 @@ def windows(files: DataFrame, size: int = LEXICAL_WINDOW[0], step: int = LEXICAL
 def sections(files: DataFrame, nested_fix: bool = False) -> DataFrame:
     """Markdown sections: a heading up to the next of its level or above; text before the first is `(preamble)`."""
     df = files.select("path", line_array("content").alias("l"))
-    head = r"^\s*(#{1,6})\s+(.*\S)"
+    head = r"^\s*(#{1,6}) (.*)$"
     found = F.filter(F.transform("l", lambda x, i: F.struct((i + 1).alias("at"), F.length(F.regexp_extract(x, head, 1)).alias("level"), F.trim(F.regexp_extract(x, head, 2)).alias("title"))), lambda h: h["level"] > 0)
     df = df.withColumn("heads", found)
     plain = windows(files.join(df.where(F.size("heads") == 0).select("path"), "path", "left_semi"))
@@ -51,9 +51,14 @@ def sections(files: DataFrame, nested_fix: bool = False) -> DataFrame:
     after = lambda h: F.array_min(F.transform(F.filter("heads", lambda o: (o["at"] > h["at"]) & (o["level"] <= h["level"])), lambda o: o["at"]))
     rows = df.select("path", "l", "heads", F.explode("heads").alias("h"), F.size("l").alias("n"))
     rows = rows.withColumn("stop", F.coalesce(after(F.col("h")) - 1, F.col("n")))
-    # ancestors: earlier headings of a lower level that no heading of their level or above closes before this one
-    above = F.filter("heads", lambda o: (o["at"] < F.col("h.at")) & (o["level"] < F.col("h.level")) & ~F.exists("heads", lambda m: (m["at"] > o["at"]) & (m["at"] < F.col("h.at")) & (m["level"] <= o["level"])))
-    crumb = F.concat_ws(" > ", F.transform(above, lambda o: o["title"]), F.col("h.title"))
+    if nested_fix:
+        # ancestors: earlier headings of a lower level that no heading of their level or above closes before this one
+        above = F.filter("heads", lambda o: (o["at"] < F.col("h.at")) & (o["level"] < F.col("h.level")) & ~F.exists("heads", lambda m: (m["at"] > o["at"]) & (m["at"] < F.col("h.at")) & (m["level"] <= o["level"])))
+        crumb = F.concat_ws(" > ", F.transform(above, lambda o: o["title"]), F.col("h.title"))
+    else:  # a stack cut to one less than each heading's level, whatever levels it holds
+        so_far = F.filter("heads", lambda o: o["at"] <= F.col("h.at"))
+        stack = F.aggregate(so_far, F.array().cast("array<string>"), lambda a, o: F.concat(F.slice(a, F.lit(1), F.least(F.size(a), o["level"] - 1)), F.array(o["title"])))
+        crumb = F.array_join(stack, " > ")
     out = rows.select("path", F.col("h.at").cast("long").alias("start"), F.col("stop").cast("long").alias("end"), F.lit("section").alias("kind"), crumb.alias("breadcrumb"), F.concat_ws("\n", F.slice("l", F.col("h.at"), F.col("stop") - F.col("h.at") + 1)).alias("text"))
     first = F.element_at("heads", 1)["at"]
     lead = F.slice("l", F.lit(1), first - 1)

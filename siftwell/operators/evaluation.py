@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftwell.functions.text import dot
+
 DEPTHS = (1, 3, 5, 20)
 
 
@@ -39,3 +44,44 @@ def latency(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     """Nearest-rank p50 and p95."""
     q = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), q(0.5).alias("p50"), q(0.95).alias("p95"))
+
+
+def evaluate_with(cases: DataFrame, search: Callable[[DataFrame, int], DataFrame], limit: int = 20) -> DataFrame:
+    """Outcomes of any search: a function of queries(query_id, query) and a limit that gives query_id, path, rank."""
+    hits = search(cases.select(F.col("id").alias("query_id"), "query"), limit)
+    return outcomes(cases, hits.select(F.col("query_id").alias("id"), "path", "rank"))
+
+
+def split(cases: DataFrame, by: str = "id") -> DataFrame:
+    """Cases with `part`: every other one in order is for development, the rest are held out."""
+    place = F.row_number().over(W.orderBy(by))  # a label set, not a corpus
+    return cases.withColumn("part", F.when(place % 2 == 1, "dev").otherwise("held"))
+
+
+def best_of(runs: DataFrame) -> DataFrame:
+    """level, queries, mean_ms, hit_rate of runs(label, level, ms, found): the best run of each label counts."""
+    best = runs.groupBy("label", "level").agg(F.min("ms").alias("ms"), F.max("found").alias("found"))
+    return best.groupBy("level").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("ms"), 6).alias("mean_ms"), F.round(F.avg(F.col("found").cast("double")), 6).alias("hit_rate"))
+
+
+def pool_recall(queries: DataFrame, pool: DataFrame, depths=(1, 3, 10)) -> DataFrame:
+    """Recall of queries(query_id, q, file) in a pool(item, file, embedding): a hit is any item of the query's own file.
+
+    Ranks are counts of better items, so no list is sorted or kept; the queries are a label set.
+    """
+    own = pool.join(F.broadcast(queries), "file").groupBy("query_id").agg(F.max(F.round(dot("embedding", "q"), 6)).alias("best"))
+    scored = pool.crossJoin(F.broadcast(queries.join(own, "query_id").select("query_id", "q", "best", F.col("file").alias("mine"))))
+    better = scored.groupBy("query_id").agg(F.count_if((F.round(dot("embedding", "q"), 6) > F.col("best")) & (F.col("file") != F.col("mine"))).alias("better"))
+    rows = queries.select("query_id").join(better, "query_id", "left")
+    return rows.agg(F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(F.coalesce(F.col("better") < k, F.lit(False)).cast("double")), 6).alias(f"recall_{k}") for k in depths])
+
+
+def next_read(log: DataFrame, reads: DataFrame, within: str) -> DataFrame:
+    """The rows of log(root, ts, query) with the first read(root, ts, path) of the same root after them, if `within` that time."""
+    both = log.select("root", "ts", "query", F.lit(None).cast("string").alias("path"), F.lit(None).cast("timestamp").alias("read_ts")).unionByName(
+        reads.select("root", "ts", F.lit(None).cast("string").alias("query"), "path", F.col("ts").alias("read_ts"))
+    )
+    later = W.partitionBy("root").orderBy(F.col("ts"), F.col("read_ts").asc_nulls_first(), F.col("path")).rowsBetween(1, W.unboundedFollowing)
+    found = both.withColumn("next", F.first(F.when(F.col("path").isNotNull(), F.struct("read_ts", "path")), ignorenulls=True).over(later)).where("query is not null")
+    near = F.col("next.read_ts") <= F.col("ts") + F.expr(f"INTERVAL {within}")
+    return found.select("root", "ts", "query", F.when(near, F.col("next.path")).alias("path"), F.when(near, F.col("next.read_ts")).alias("read_ts"))

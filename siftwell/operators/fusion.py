@@ -73,3 +73,27 @@ def hybrid(lexical: DataFrame, vector: DataFrame, limit: int = 10, structural: D
     """Fetch depth on each side, fuse, order, limit."""
     n = depth(limit)
     return ordered(fused(lexical.where(F.col("rank") <= n), vector.where(F.col("rank") <= n), structural), limit)
+
+
+def collected(lexical: DataFrame, vector: DataFrame | None, limit: int = 10, structural: DataFrame | None = None) -> DataFrame:
+    """Hybrid rows where there are vectors, else the lexical list alone in the same shape."""
+    if vector is not None:
+        return hybrid(lexical, vector, limit, structural)
+    return hybrid(lexical, lexical.limit(0), limit, structural)
+
+
+def with_fallback(found: DataFrame, queries: DataFrame, live: DataFrame) -> DataFrame:
+    """The rows of each query, and rows of a live search(query_id, path, start, end, breadcrumb, rank) for queries that have none."""
+    none = queries.select(F.col("query_id").cast("string").alias("query_id")).join(found.select("query_id").distinct(), "query_id", "left_anti")
+    more = live.withColumn("query_id", F.col("query_id").cast("string")).join(none, "query_id")
+    empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema if f.name not in live.columns}
+    empty["score"], empty["source"] = F.lit(0.0).alias("score"), F.lit("rg").alias("source")
+    return found.unionByName(more.select(*[F.col(c).cast(found.schema[c].dataType).alias(c) if c in live.columns and c not in ("score", "source") else empty[c] for c in found.columns]))
+
+
+def kept_hits(hits: DataFrame, langs: list[str] = (), globs: list[str] = ()) -> DataFrame:
+    """Hits whose paths pass the filters. They are applied to the list that a search gave, so it may come out shorter."""
+    from siftwell.functions.text import in_languages, keeps_globs
+
+    out = hits.where(in_languages("path", list(langs))) if langs else hits
+    return out.where(keeps_globs("path", list(globs))) if globs else out

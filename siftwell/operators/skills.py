@@ -66,3 +66,16 @@ def ranked(entries: DataFrame, query: str, limit: int = 2) -> DataFrame:
     """Skills by the share of the query's words in name and description."""
     score = token_overlap(skill_tokens(F.lit(query)), skill_tokens(F.concat_ws(" ", "name", "description")))
     return entries.where("error is null").withColumn("score", F.round(score, 6)).where(F.col("score") >= FLOOR).orderBy(F.desc("score"), "name").limit(max(1, min(limit, 5)))
+
+
+def library(files: DataFrame) -> DataFrame:
+    """folder, content of the skill files of a scan: <folder>/SKILL.md, one level below the root."""
+    folder = F.regexp_extract("path", r"^([^/]+)/SKILL\.md$", 1)
+    return files.select(folder.alias("folder"), F.col("content").cast("string").alias("content")).where("folder <> ''")
+
+
+def judged(entries: DataFrame, answers: DataFrame, limit: int = 2, exists_floor: float = 0.5, score_floor: float = 0.5) -> DataFrame:
+    """Skills by a judge's answers(name, exists, score): those it finds fit at all, and well enough."""
+    met = entries.where("error is null").join(answers, "name")
+    fit = met.where((F.col("exists") >= exists_floor) & (F.col("score") >= score_floor))
+    return fit.drop("exists").orderBy(F.desc("score"), "name").limit(max(1, min(limit, 5)))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,13 +26,52 @@ def top(store: DataFrame, query: list[float], limit: int, keys: list[str]) -> Da
 
 
 def top_batch(store: DataFrame, queries: DataFrame, limit: int, keys: list[str]) -> DataFrame:
-    """The rows nearest to each of a batch of queries(query_id, q), in blocks of about BLOCK queries; each task keeps its own best."""
-    blocks = max(1, -(-queries.count() // BLOCK))
-    batch = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("batch")).select("batch")
-    rows = store.crossJoin(batch).select(*keys, "embedding", F.explode("batch").alias("b"))  # a row on the right for each block
-    scored = rows.select("b.query_id", *keys, F.round(dot("embedding", F.col("b.q")), 6).alias("score"))
+    """The rows nearest to each of a batch of queries(query_id, q).
+
+    Blocks of BLOCK queries (a bounded 8 bytes a number) are scored against each batch of rows at
+    once, and only a task's own best rows of each query are shuffled. All ties at the last place are
+    kept until the end, where the key decides.
+    """
+    spark = store.sparkSession
+    ids, vectors, out = [], [], None
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in store.select(*keys).schema)
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def block(ids: list, vectors: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast((ids, np.array(vectors, np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            if not ids:
+                return
+            best: list[pa.Table] = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = np.asarray(batch.column("embedding").flatten(), np.float64).reshape(batch.num_rows, -1)
+                s = np.round(x @ q.T, 6)
+                least = -np.partition(-s, min(limit, len(s)) - 1, axis=0)[min(limit, len(s)) - 1]
+                row, of = np.nonzero(s >= least[None, :])
+                part = [pa.array(ids).take(pa.array(of)), *(batch.column(k).take(pa.array(row)) for k in keys), pa.array(s[row, of])]
+                best.append(pa.Table.from_arrays(part, ["query_id", *keys, "score"]))
+            if best:
+                yield from pa.concat_tables(best).to_batches()
+
+        width = len(vectors[0]) if vectors else 0
+        return store.where(F.size("embedding") == width).select(*keys, "embedding").mapInArrow(run, f"query_id {kind}, {names}, score double")
+
+    for r in queries.select("query_id", "q").toLocalIterator():
+        ids.append(r["query_id"])
+        vectors.append(r["q"])
+        if len(ids) == BLOCK:
+            made = block(ids, vectors)
+            out = made if out is None else out.unionByName(made)
+            ids, vectors = [], []
+    if ids or out is None:
+        made = block(ids, vectors)
+        out = made if out is None else out.unionByName(made)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), *keys)
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit)
+    return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit)
 
 
 def needs_embedding(current: DataFrame, store: DataFrame) -> DataFrame:
@@ -68,3 +109,20 @@ def sync(current: DataFrame, store: DataFrame, embed: Callable[[list[str]], list
 def same_model(store_model: str, store_dims: int, model: str, dims: int) -> bool:
     """Whether a store can be searched with a model's vectors."""
     return store_model == model and store_dims == dims
+
+
+def usable_store(store: DataFrame, store_model: str, store_dims: int, model: str, dims: int) -> DataFrame:
+    """The store to go on from: as it is for the same model, empty for another one, so that all is embedded anew."""
+    return store if same_model(store_model, store_dims, model, dims) else store.limit(0)
+
+
+def counters(current: DataFrame, store: DataFrame) -> DataFrame:
+    """One row: chunks, how many have their vector, are to be embedded, and are to be dropped from the store."""
+    todo = needs_embedding(current, store).agg(F.count(F.lit(1)).alias("to_embed"))
+    gone = store.join(current.select(*ID).distinct(), ID, "left_anti").agg(F.count(F.lit(1)).alias("to_drop"))
+    return current.agg(F.count(F.lit(1)).alias("chunks")).crossJoin(todo).crossJoin(gone).withColumn("kept", F.col("chunks") - F.col("to_embed"))  # a row each
+
+
+def in_order(store: DataFrame) -> DataFrame:
+    """The order in which a store is kept."""
+    return store.orderBy(*ID)

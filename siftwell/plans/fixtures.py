@@ -132,3 +132,35 @@ def skill_files(spark: SparkSession) -> DataFrame:
 def length_embedding(texts: list[str]) -> list[list[float]]:
     """A deterministic stand-in for a model: byte length and one."""
     return [[float(len(t.encode("utf-8"))), 1.0] for t in texts]
+
+
+def tree(spark: SparkSession) -> DataFrame:
+    """path, content: a tree with ignore files at two levels."""
+    rows = [
+        (".gitignore", "# built\n*.log\n/out/\nsecret.txt\n!keep.log\n"),
+        ("sub/.gitignore", "!secret.txt\nnotes/*.md\n"),
+        ("secret.txt", "x"), ("notes.txt", "x"), ("a/run.log", "x"), ("a/keep.log", "x"), ("out/x.txt", "x"), ("a/out/x.txt", "x"),
+        ("sub/secret.txt", "x"), ("sub/notes/a.md", "x"), ("sub/deep/notes/a.md", "x"), (".hidden/a.txt", "x"),
+    ]
+    return spark.createDataFrame(rows, "path string, content string")
+
+
+#: Queries and where they go.
+ROUTES = [
+    ("foo::Bar", "literal"), (" foo::Bar ", "literal"), ('"x:Name"', "literal"), ("'two words'", "literal"), ("'a\"b'", "literal"),
+    ("apply_request", "identifier"), ("src/auth.rs", "identifier"), ("one-two", "identifier"), ("_x.y", "identifier"),
+    ("where is it handled", "intent"), ("find foo::Bar", "intent"), ("foo::", "intent"), ("::Bar", "intent"), ("foo:::Bar", "intent"),
+    ("https://example.com", "intent"), ('""', "intent"), ('"   "', "intent"), ('"foo" OR "bar"', "intent"), ("`foo`", "intent"), ("", "intent"), ("   ", "intent"), ("9lives", "intent"), ('"', "intent"),
+]
+#: Patterns as they are given and as they are searched.
+PATTERNS = [
+    ('"foo bar"', "foo bar"), ("'foo bar'", "foo bar"), ('  "foo bar"  ', "foo bar"), ("foo bar", "foo bar"), ('""', '""'), ('"   "', '"   "'),
+    ('"foo" OR "bar"', '"foo" OR "bar"'), ("`foo`", "`foo`"), ("", ""), ('" a "', " a "), ('"', '"'), ("\"a'", "\"a'"),
+]
+HEADINGS = "Before.\n### Deep\nx\n## Less deep\n#\tNo heading\n####### Seven\n# \ny\n### Under it\n"
+
+
+def values(rows: list[tuple]) -> str:
+    """Rows as a SQL VALUES list."""
+    show = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
+    return "VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)

@@ -109,3 +109,80 @@ def contained(path: str) -> str:
     if out.startswith(("..", "/")):
         raise ValueError(f"outside of the root: {path}")
     return out
+
+
+IGNORE_FILES = (".gitignore", ".ignore")
+
+
+def _rules(content: str | None) -> list[tuple[int, str, bool]]:
+    """(line, regular expression, takes back) of each rule of an ignore file, relative to its folder."""
+    out = []
+    for k, line in enumerate((content or "").splitlines()):
+        rule = line.rstrip()
+        if not rule or rule.startswith("#"):
+            continue
+        back = rule.startswith("!")
+        rule = rule[1:] if back else rule
+        folder = rule.endswith("/")
+        anchored = "/" in rule.rstrip("/")
+        body = glob_regex(rule.strip("/")).removeprefix("^").removeprefix("(?:.*/)?").removesuffix("$")
+        out.append((k, ("^" if anchored else "^(?:.*/)?") + body + ("/.*$" if folder else "(?:/.*)?$"), back))
+    return out
+
+
+def walked(files: DataFrame) -> DataFrame:
+    """The files(path, content) that a walk gives: no hidden ones, and none that the ignore files on its way rule out.
+
+    Rules of a deeper ignore file come after those of its parents, and the last rule that matches
+    decides. Ignore files are rows of the scan like any others; they meet paths in a join by folder.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
+    rules = F.udf(_rules, "array<struct<line: int, pattern: string, back: boolean>>")
+    given = files.where(name.isin(*IGNORE_FILES)).select(folder.alias("folder"), name.alias("file"), F.explode(rules(F.col("content").cast("string"))).alias("rule"))
+    seen = files.where(~hidden("path"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.when(k == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/"))))
+    met = seen.select("path", F.explode(above).alias("folder")).join(given, "folder")
+    rest = F.expr("substring(path, length(folder) + 1)")
+    hit = met.where(F.regexp_like(rest, F.col("rule.pattern")))
+    last = hit.groupBy("path").agg(F.max_by("rule.back", F.struct(F.length("folder"), "file", "rule.line")).alias("back"))
+    return seen.join(last.where("not back").select("path"), "path", "left_anti")
+
+
+def valid_root(root: str, file_too: bool = False) -> str:
+    """A root as it may be searched: an absolute path of a folder (or, for a live search, of a file)."""
+    from pathlib import Path
+
+    p = Path(root)
+    if not p.is_absolute() or not (p.is_dir() or file_too and p.is_file()):
+        raise ValueError(f"not an absolute folder{' or file' if file_too else ''}: {root}")
+    return str(p)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place for a stored table in the shared folder of the session; a local one only in a local session that names none."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(root or '/tmp/checkpoints').rstrip('/')}/siftwell/{name}-{uuid.uuid4().hex}"
+
+
+def assignments(text: str) -> dict[str, str]:
+    """NAME=value lines, with or without `export` and quotes; the last of a name wins."""
+    out = {}
+    for line in text.splitlines():
+        m = re.match(r"\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(.*?)\s*$", line)
+        if m:
+            value = m[2]
+            out[m[1]] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
+    return out
+
+
+def setting(name: str, environment: dict[str, str], files: list[str] = ()) -> str | None:
+    """A setting from the environment, else from the first of the texts of assignments that has it."""
+    if environment.get(name):
+        return environment[name]
+    return next((found for text in files if (found := assignments(text).get(name))), None)
