@@ -1,5 +1,7 @@
 """Approximate nearest neighbours by largest inner product, with balanced posting lists.
 
+There are as many lists as the square root of the rows, so a query is sent to a number of lists that
+grows more slowly than the table, and lists are longer instead.
 Centroids are fitted on a bounded sample: halving along the main direction gives lists of equal
 size, a few rounds of averaging settle them. All rows are indexed: a vector goes to the lists of
 its nearest centroids, found by a beam search over an in-memory graph of centroids, and boundary
@@ -15,6 +17,7 @@ own. An empty table gives no rows. Only the id and the vector are read, so other
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +30,7 @@ from siftwell.llm.common import staged, unit_hash
 
 #: Rows that the centroids are fitted on at most, and centroids at most (what is broadcast).
 SAMPLE, MOST_LISTS = 131_072, 16_384
+#: Rows of a list at least, about.
 LIST_ROWS = 100
 REPLICAS, REPLICA_RATIO = 8, 1.1
 PROBE_RATIO = 1.25
@@ -51,10 +55,10 @@ class Centroids:
         self.lift = lift
         x = self.lifted(sample)
         groups = {0: np.arange(len(x))}
+        heap = [(-len(x), 0)]
         rng, label = np.random.default_rng(11), 1
         while len(groups) < min(lists, len(x)):
-            g = max(groups, key=lambda k: (len(groups[k]), -k))
-            idx = groups.pop(g)
+            idx = groups.pop(heapq.heappop(heap)[1])
             y = x[idx] - x[idx].mean(axis=0)
             v = rng.standard_normal(y.shape[1])
             for _ in range(6):
@@ -62,7 +66,9 @@ class Centroids:
                 v /= np.linalg.norm(v) + 1e-12
             order = np.argsort(y @ v, kind="stable")
             for half in (idx[order[: len(order) // 2]], idx[order[len(order) // 2 :]]):
-                groups[label], label = half, label + 1
+                groups[label] = half
+                heapq.heappush(heap, (-len(half), label))
+                label += 1
         c = np.stack([x[i].mean(axis=0) for i in groups.values()])
         for _ in range(3):
             own = np.concatenate([np.argmax(x[a : a + 4096] @ c.T - 0.5 * (c**2).sum(axis=1), axis=1) for a in range(0, len(x), 4096)])
@@ -137,7 +143,7 @@ def matrix(col: pa.Array) -> np.ndarray:
 
 def fitted(vectors: DataFrame, dims: int, total: int, lift: float) -> Centroids:
     """Centroids from at most SAMPLE rows that a hash of the id picks."""
-    lists = int(np.clip(total // LIST_ROWS, 1, MOST_LISTS))
+    lists = int(np.clip(min(total // LIST_ROWS, total**0.5), 1, MOST_LISTS))
     want = min(SAMPLE, 64 * lists + 1024)
     rows = vectors.where(unit_hash(F.col("id"), 3) < 0.95 * want / total) if total > want else vectors
     t = rows.orderBy("id").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
