@@ -228,7 +228,7 @@ def redacted(text: Column | str, strict: bool = False) -> Column:
     out = F.regexp_replace(_c(text), r"(?<!\S)[^\s@]+@[^\s@]+\.[^\s@]+(?!\S)" if not strict else r"[^\s@<>(),;:]+@[^\s@<>(),;:]+\.[A-Za-z0-9]+", "[redacted]")
     if strict:
         out = F.regexp_replace(out, r"(?i)bearer\s+[^\s\"',]+", "Bearer [redacted]")
-    return F.regexp_replace(out, rf"(?i)([A-Za-z0-9_\-]*(?:{names})\s*[=:]\s*)(\"[^\"]*\"|'[^']*'|[^\s]+)", "$1[redacted]")
+    return F.regexp_replace(out, rf"(?i)((?:{names})\s*[=:]\s*)(\"[^\"]*\"|'[^']*'|[^\s]+)", "$1[redacted]")
 
 
 def bearer_hidden(text: Column | str) -> Column:
