@@ -436,11 +436,14 @@ def retain_ids(spark, sf):
     return vectors.retained(store, current).select("rel", "start")
 
 
-@query()
+@query(
+    """WITH d AS (SELECT source AS rel, doc_id AS start, least(strlen(text), 1500)::DOUBLE AS n FROM documents WHERE doc_id % 3 <> 0)
+    SELECT rel, start, round(n / sqrt(n * n + 1), 5) AS first, round(1 / sqrt(n * n + 1), 5) AS second FROM d"""
+)
 def embed_sync(spark, sf):
     current, store = _stores(spark, sf)
     have = vectors.embedded(store, fixtures.length_embedding)
-    return vectors.sync(current, have, fixtures.length_embedding).select("rel", "start", F.round(T.dot("embedding", "embedding"), 6).alias("norm"))
+    return vectors.sync(current, have, fixtures.length_embedding).select("rel", "start", F.round(F.col("embedding")[0], 5).alias("first"), F.round(F.col("embedding")[1], 5).alias("second"))
 
 
 # --- evaluation -----------------------------------------------------------------
