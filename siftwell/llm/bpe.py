@@ -29,7 +29,7 @@ from siftwell.llm.common import kept, slices, tidy, trimmed
 #: Distinct words and pre-tokens that a worker keeps (about 200 bytes each); a store beyond it is emptied and filled anew.
 WORD_STORE = 1_200_000
 #: New words of one batch that leave much memory free behind them.
-MANY = 20_000
+MANY = 5_000
 #: New words that are split at once.
 LEARNED = 1 << 16
 _NEVER = 1 << 40
