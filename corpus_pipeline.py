@@ -50,7 +50,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Workers share their executor's memory with what earlier stages have left, so they keep fewer words.
     """
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), word_store=600_000)
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), word_store=300_000)
 
 
 STAGES = [
