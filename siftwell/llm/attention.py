@@ -9,6 +9,10 @@ the id before (Vocabulary), and what the attention adds is learned.
 Sequences run in blocks; a block's queries see the block before and their own up to themselves, so
 context windows overlap by half and each token is scored once. Query and key projections are one
 matrix (`look`), value and output projections another (`move`).
+
+How a matrix product rounds depends on its shape and on a row's place in it. A text's score must not
+depend on the texts beside it, so scoring multiplies block by block, and where rows of many blocks
+come together it multiplies whole numbers.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ _OFFSET = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
 _HIDDEN = _OFFSET < 0
 _SLOT = np.clip(_OFFSET, 0, 2 * BLOCK - 1)
 _NAMES = ("embed", "look", "move", "near", "top", "top_bias", "leaf", "leaf_bias")
+#: Factors of a product of whole numbers are rounded to this part; up to 8192 its sums are exact.
+PART = 2.0**-20
 #: Pairs that a row of the pair counts is taken to have from the general shares.
 PRIOR = 25.0
 
@@ -92,28 +98,32 @@ def blocks_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _attend(p, x, before, begins):
     """Attention weights, context and hidden states of blocks x; before: the inputs of the block that precedes the first one."""
-    d = WIDTH
-    xx = np.empty((len(x), 2 * BLOCK, d), np.float32)
+    xx = np.empty((len(x), 2 * BLOCK, WIDTH), np.float32)
     xx[:, BLOCK:] = x
     xx[1:, :BLOCK] = x[:-1]
     xx[0, :BLOCK] = before
-    q = (x.reshape(-1, d) @ p["look"]).reshape(x.shape)
+    q = np.matmul(x, p["look"])
     s = np.matmul(q, xx.transpose(0, 2, 1))
     s += np.where(_HIDDEN, np.float32(-1e9), p["near"][_SLOT])
     s[begins, :, :BLOCK] = -1e9
     np.minimum(s, 60, out=s)
     np.exp(s, out=s)
-    total = s.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, np.float32)
-    s /= (total + np.float32(1e-30)).reshape(len(x), BLOCK, 1)
+    total = np.matmul(s, np.ones(2 * BLOCK, np.float32))
+    s /= (total + np.float32(1e-30))[:, :, None]
     c = np.matmul(s, xx)
-    return xx, q, s, c, x + (c.reshape(-1, d) @ p["move"]).reshape(x.shape)
+    return xx, q, s, c, x + np.matmul(c, p["move"])
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return np.rint(x * (1 / PART))
 
 
 def _normaliser(logits: np.ndarray) -> np.ndarray:
-    """exp(logits) in place and its row sums."""
+    """exp(logits) in place and its row sums, each row's by itself."""
     np.minimum(logits, 60, out=logits)
     np.exp(logits, out=logits)
-    return logits @ np.ones(logits.shape[1], np.float32) + np.float32(1e-30)
+    return logits.sum(axis=-1) + np.float32(1e-30)
 
 
 def log_probs(p: dict[str, np.ndarray], vocab: Vocabulary, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -126,25 +136,26 @@ def log_probs(p: dict[str, np.ndarray], vocab: Vocabulary, inputs: np.ndarray, t
     leaf[at] = vocab.leaf[targets]
     out = np.zeros(nb * BLOCK, np.float32)
     before = np.zeros((BLOCK, WIDTH), np.float32)
+    leaves = _whole(p["leaf"]) * PART**2
     for a in range(0, nb, CHUNK):
         b = min(nb, a + CHUNK)
         here = slice(a * BLOCK, b * BLOCK)
         x = p["embed"][slots[here]].reshape(b - a, BLOCK, WIDTH)
-        h = _attend(p, x, before, begins[a:b])[-1].reshape(-1, WIDTH)
+        h = _attend(p, x, before, begins[a:b])[-1]
         before = x[-1]
         g, l = group[here], leaf[here]
-        z = h @ p["top"] + p["top_bias"]
+        z = np.matmul(h, p["top"]).reshape(-1, GROUPS) + p["top_bias"]
         z += vocab.top_log[slots[here]]
         score = np.minimum(z[np.arange(len(z)), g], 60)
         score -= np.log(_normaliser(z))
         order = np.argsort(g.astype(np.int8), kind="stable")
         edge = np.searchsorted(g[order], np.arange(GROUPS + 1))
-        h, l, s = h[order], l[order], slots[here][order]
+        h, l, s = _whole(h.reshape(-1, WIDTH)[order]), l[order], slots[here][order]
         part = np.empty(len(h), np.float32)
         for k in range(GROUPS):
             i, j = edge[k], edge[k + 1]
             if i < j:
-                z = h[i:j] @ p["leaf"][k] + p["leaf_bias"][k]
+                z = (h[i:j] @ leaves[k]).astype(np.float32) + p["leaf_bias"][k]
                 z += vocab.leaf_log[s[i:j], k]
                 own = np.minimum(z[np.arange(j - i), l[i:j]], 60)
                 part[i:j] = own - np.log(_normaliser(z))

@@ -247,6 +247,22 @@ def test_lm_words_have_ids_of_their_own():
     assert all(ids) and len(set(ids)) == len(words)
 
 
+def test_lm_scores_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(0)
+    size, lengths = 3000, rng.integers(1, 400, 60)
+    vocab = attention.Vocabulary(rng.integers(0, 500, size), rng.integers(0, attention.GROUPS, size))
+    vocab.follow(rng.poisson(0.3, (attention.INPUTS + attention.GROUPS, attention.GROUPS * attention.LEAVES)))
+    p = attention.fresh(vocab)
+    texts = [rng.integers(0, size, n + 1) for n in lengths]
+
+    def scores(rows):
+        return attention.log_probs(p, vocab, np.concatenate([texts[i][:-1] for i in rows]), np.concatenate([texts[i][1:] for i in rows]), lengths[rows])
+
+    alone = [scores(np.array([i])) for i in range(60)]
+    for rows in (np.arange(60), rng.permutation(60), np.arange(7, 31)):
+        assert np.array_equal(scores(rows), np.concatenate([alone[i] for i in rows]))
+
+
 def test_lm_is_a_function_of_the_rows(spark, monkeypatch):
     monkeypatch.setattr(lm, "LEARNER_WINDOWS", 1500)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
