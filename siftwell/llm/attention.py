@@ -24,12 +24,13 @@ WIDTH = 16
 GROUPS, LEAVES = 16, 32
 INPUTS = 1024
 #: Blocks computed at once.
-CHUNK = 512
+CHUNK = 256
 
 #: Offsets of the keys of two blocks from a query, and which of them it may not see.
 _OFFSET = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
 _HIDDEN = _OFFSET < 0
 _SLOT = np.clip(_OFFSET, 0, 2 * BLOCK - 1)
+_ONES = np.ones(2 * BLOCK, np.float32)
 _NAMES = ("embed", "look", "move", "near", "top", "top_bias", "leaf", "leaf_bias")
 #: Factors of a product of whole numbers are rounded to this part; up to 8192 its sums are exact.
 PART = 2.0**-20
@@ -96,34 +97,45 @@ def blocks_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, begins
 
 
-def _attend(p, x, before, begins):
-    """Attention weights, context and hidden states of blocks x; before: the inputs of the block that precedes the first one."""
-    xx = np.empty((len(x), 2 * BLOCK, WIDTH), np.float32)
+def _near(p) -> np.ndarray:
+    return np.where(_HIDDEN, np.float32(-1e9), p["near"][_SLOT])
+
+
+def _capped(x: np.ndarray) -> np.ndarray:
+    """At most 60, in place; a pass that only looks is far cheaper."""
+    if x.size and not x.max() <= 60:
+        np.minimum(x, 60, out=x)
+    return x
+
+
+def _with_before(x: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Each block after the block that precedes it; before: the one that precedes the first."""
+    xx = np.empty((len(x), 2 * BLOCK, x.shape[2]), np.float32)
     xx[:, BLOCK:] = x
     xx[1:, :BLOCK] = x[:-1]
     xx[0, :BLOCK] = before
-    q = np.matmul(x, p["look"])
-    s = np.matmul(q, xx.transpose(0, 2, 1))
-    s += np.where(_HIDDEN, np.float32(-1e9), p["near"][_SLOT])
+    return xx
+
+
+def _weights(q: np.ndarray, xx: np.ndarray, near: np.ndarray, begins: np.ndarray, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Attention weights of queries q before division, and what they are divided by."""
+    s = np.matmul(q, xx.transpose(0, 2, 1), out=out)
+    s += near
     s[begins, :, :BLOCK] = -1e9
-    np.minimum(s, 60, out=s)
-    np.exp(s, out=s)
-    total = np.matmul(s, np.ones(2 * BLOCK, np.float32))
-    s /= (total + np.float32(1e-30))[:, :, None]
-    c = np.matmul(s, xx)
-    return xx, q, s, c, x + np.matmul(c, p["move"])
+    np.exp(_capped(s), out=s)
+    total = np.matmul(s, _ONES)
+    total += np.float32(1e-30)
+    return s, total
 
 
 def _whole(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float64)
-    return np.rint(x * (1 / PART))
+    """In parts, rounded to whole numbers; a power of two as factor loses nothing."""
+    return np.rint(x * x.dtype.type(1 / PART)).astype(np.float64)
 
 
-def _normaliser(logits: np.ndarray) -> np.ndarray:
-    """exp(logits) in place and its row sums, each row's by itself."""
-    np.minimum(logits, 60, out=logits)
-    np.exp(logits, out=logits)
-    return logits.sum(axis=-1) + np.float32(1e-30)
+def _exp(logits: np.ndarray) -> np.ndarray:
+    """exp(logits) in place."""
+    return np.exp(logits, out=logits)
 
 
 def log_probs(p: dict[str, np.ndarray], vocab: Vocabulary, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -131,88 +143,122 @@ def log_probs(p: dict[str, np.ndarray], vocab: Vocabulary, inputs: np.ndarray, t
     at, begins = blocks_of(lengths)
     nb = len(begins)
     slots, group, leaf = (np.zeros(nb * BLOCK, np.int32) for _ in range(3))
-    slots[at] = vocab.slot[inputs]
-    group[at] = vocab.group[targets]
-    leaf[at] = vocab.leaf[targets]
+    slots[at] = vocab.slot.take(inputs)
+    group[at] = vocab.group.take(targets)
+    leaf[at] = vocab.leaf.take(targets)
     out = np.zeros(nb * BLOCK, np.float32)
     before = np.zeros((BLOCK, WIDTH), np.float32)
     leaves = _whole(p["leaf"]) * PART**2
+    # what depends on a slot alone is looked up
+    asks, top_at, leaf_at = p["embed"] @ p["look"], vocab.top_log + p["top_bias"], (vocab.leaf_log + p["leaf_bias"]).reshape(-1, LEAVES)
+    near = _near(p)
     for a in range(0, nb, CHUNK):
         b = min(nb, a + CHUNK)
         here = slice(a * BLOCK, b * BLOCK)
-        x = p["embed"][slots[here]].reshape(b - a, BLOCK, WIDTH)
-        h = _attend(p, x, before, begins[a:b])[-1]
+        at_slot, g = slots[here], group[here]
+        x = p["embed"].take(at_slot, axis=0).reshape(b - a, BLOCK, WIDTH)
+        xx = _with_before(x, before)
         before = x[-1]
-        g, l = group[here], leaf[here]
-        z = np.matmul(h, p["top"]).reshape(-1, GROUPS) + p["top_bias"]
-        z += vocab.top_log[slots[here]]
-        score = np.minimum(z[np.arange(len(z)), g], 60)
-        score -= np.log(_normaliser(z))
+        w, total = _weights(asks.take(at_slot, axis=0).reshape(x.shape), xx, near, begins[a:b])
+        c = np.matmul(w, xx)
+        c /= total[:, :, None]
+        h = np.matmul(c, p["move"])
+        h += x
+        z = np.matmul(h, p["top"]).reshape(-1, GROUPS)
+        z += top_at.take(at_slot, axis=0)
+        _capped(z)
+        rows = np.arange(len(z))
+        score = z.ravel().take(rows * GROUPS + g)
+        score -= np.log(np.matmul(_exp(z).reshape(-1, BLOCK, GROUPS), _ONES[:GROUPS]).ravel() + np.float32(1e-30))
         order = np.argsort(g.astype(np.int8), kind="stable")
-        edge = np.searchsorted(g[order], np.arange(GROUPS + 1))
-        h, l, s = _whole(h.reshape(-1, WIDTH)[order]), l[order], slots[here][order]
-        part = np.empty(len(h), np.float32)
-        for k in range(GROUPS):
-            i, j = edge[k], edge[k + 1]
+        g = g.take(order)
+        edge = np.searchsorted(g, np.arange(GROUPS + 1)).tolist()
+        h = _whole(h.reshape(-1, WIDTH).take(order, axis=0))
+        z = np.empty((len(h), LEAVES), np.float32)
+        for k, i, j in zip(range(GROUPS), edge, edge[1:]):
             if i < j:
-                z = (h[i:j] @ leaves[k]).astype(np.float32) + p["leaf_bias"][k]
-                z += vocab.leaf_log[s[i:j], k]
-                own = np.minimum(z[np.arange(j - i), l[i:j]], 60)
-                part[i:j] = own - np.log(_normaliser(z))
+                z[i:j] = h[i:j] @ leaves[k]
+        z += leaf_at.take(at_slot.take(order) * GROUPS + g, axis=0)
+        _capped(z)
+        part = z.ravel().take(rows * LEAVES + leaf[here].take(order))
+        part -= np.log(np.einsum("ij->i", _exp(z)) + np.float32(1e-30))
         score[order] += part
         out[here] = score
-    return out[at].astype(np.float64) + vocab.share_log[targets]
+    return out[at].astype(np.float64) + vocab.share_log.take(targets)
+
 
+def _softmax_gradient(z: np.ndarray, own: np.ndarray, n: float) -> float:
+    """Logits become gradients of the mean loss over n rows, in place; the loss. own: each row's target."""
+    own = np.arange(len(z)) * z.shape[1] + own
+    _capped(z)
+    loss = -float(z.ravel().take(own).sum())
+    total = _exp(z) @ _ONES[: z.shape[1]]
+    loss += float(np.log(total + np.float32(1e-30)).sum())
+    z *= (1 / (n * (total + np.float32(1e-30))))[:, None]
+    z.ravel()[own] -= np.float32(1 / n)
+    return loss / n
 
-def _gradients(p, vocab, slots, group, leaf, real, begins):
-    """Mean loss over real places and its gradients; arrays are shaped (blocks, BLOCK)."""
+
+def _gradients(p, vocab, slots, group, leaf, at, begins):
+    """Mean loss over the real places `at` and its gradients; slots: of all places of all blocks, group and leaf: of the real ones."""
     d = WIDTH
-    x = p["embed"][slots]
-    xx, q, s, c, h = _attend(p, x, np.zeros((BLOCK, d), np.float32), begins)
-    flat, s_of, g_of, l_of = h.reshape(-1, d), slots.ravel(), group.ravel(), leaf.ravel()
-    weight = real.ravel().astype(np.float32)
-    n = max(1.0, float(weight.sum()))
-    weight /= n
-    z = flat @ p["top"] + p["top_bias"]
-    z += vocab.top_log[s_of]
-    z /= _normaliser(z)[:, None]
-    rows = np.arange(len(z))
-    loss = -float((np.log(z[rows, g_of] + 1e-12) * weight).sum())
-    z[rows, g_of] -= 1
-    z *= weight[:, None]
-    g = {"top": flat.T @ z, "top_bias": z.sum(axis=0), "leaf": np.zeros_like(p["leaf"]), "leaf_bias": np.zeros_like(p["leaf_bias"])}
+    shape = (-1, BLOCK, d)
+    x = p["embed"].take(slots, axis=0)
+    q = (x @ p["look"]).reshape(shape)
+    xx = _with_before(x.reshape(shape), np.zeros((BLOCK, d), np.float32))
+    # weights and their gradients in one array, and what is summed by them in another
+    both, beside = np.empty((len(q), 2 * BLOCK, 2 * BLOCK), np.float32), np.empty((len(q), 2 * BLOCK, d), np.float32)
+    s, ds = both[:, :BLOCK], both[:, BLOCK:]
+    s, total = _weights(q, xx, _near(p), begins, s)
+    s *= (1 / total)[:, :, None]
+    c = np.matmul(s, xx)
+    order = np.argsort(group.astype(np.int8), kind="stable")
+    edge = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
+    place, group, leaf = at[order], group[order], leaf[order]
+    n = max(1, len(at))
+    # real places in the order of their groups, with a one for the biases
+    h = np.ones((len(at), d + 1), np.float32)
+    h[:, :d] = (c.reshape(-1, d) @ p["move"] + x).take(place, axis=0)
+    of = slots.take(place)
+    z = h @ np.concatenate([p["top"], p["top_bias"][None]])
+    z += vocab.top_log.take(of, axis=0)
+    loss = _softmax_gradient(z, group, n)
+    g = {"leaf": np.zeros_like(p["leaf"]), "leaf_bias": np.zeros_like(p["leaf_bias"])}
+    top = h.T @ z
+    g["top"], g["top_bias"] = top[:d], top[d]
     dh = z @ p["top"].T
-    order = np.argsort(np.where(weight > 0, g_of, GROUPS).astype(np.int8), kind="stable")
-    edge = np.searchsorted(g_of[order[: int(real.sum())]], np.arange(GROUPS + 1))
-    for k in range(GROUPS):
-        mine = order[edge[k] : edge[k + 1]]
-        if len(mine):
-            own = flat[mine]
-            z = own @ p["leaf"][k] + p["leaf_bias"][k]
-            z += vocab.leaf_log[s_of[mine], k]
-            z /= _normaliser(z)[:, None]
-            i = np.arange(len(mine))
-            loss -= float((np.log(z[i, l_of[mine]] + 1e-12) * weight[mine]).sum())
-            z[i, l_of[mine]] -= 1
-            z *= weight[mine][:, None]
-            g["leaf"][k], g["leaf_bias"][k] = own.T @ z, z.sum(axis=0)
-            dh[mine] += z @ p["leaf"][k].T
+    z = vocab.leaf_log.reshape(-1, LEAVES).take(of * GROUPS + group, axis=0)
+    weights = np.concatenate([p["leaf"], p["leaf_bias"][:, None]], axis=1)
+    for k, i, j in zip(range(GROUPS), edge, edge[1:]):
+        if i < j:
+            z[i:j] += h[i:j] @ weights[k]
+    loss += _softmax_gradient(z, leaf, n)
+    for k, i, j in zip(range(GROUPS), edge, edge[1:]):
+        if i < j:
+            own = h[i:j].T @ z[i:j]
+            g["leaf"][k], g["leaf_bias"][k] = own[:d], own[d]
+            dh[i:j] += z[i:j] @ p["leaf"][k].T
+    real, dh = dh, np.zeros((len(slots), d), np.float32)
+    dh[place] = real
     g["move"] = c.reshape(-1, d).T @ dh
-    dc = (dh @ p["move"].T).reshape(c.shape)
-    da = np.matmul(dc, xx.transpose(0, 2, 1))
-    ds = s * (da - (da * s).sum(axis=2, keepdims=True))
+    dc = (dh @ p["move"].T).reshape(shape)
+    np.matmul(dc, xx.transpose(0, 2, 1), out=ds)
+    ds -= np.einsum("bid,bid->bi", dc, c)[:, :, None]
+    ds *= s
     g["near"] = np.bincount(_SLOT[~_HIDDEN], weights=ds.sum(axis=0)[~_HIDDEN], minlength=2 * BLOCK).astype(np.float32)
     dq = np.matmul(ds, xx).reshape(-1, d)
-    dxx = np.matmul(s.transpose(0, 2, 1), dc) + np.matmul(ds.transpose(0, 2, 1), q)
-    g["look"] = x.reshape(-1, d).T @ dq
+    beside[:, :BLOCK], beside[:, BLOCK:] = dc, q
+    dxx = np.matmul(both.transpose(0, 2, 1), beside)
+    g["look"] = x.T @ dq
     dx = dh + dq @ p["look"].T
-    dx = dx.reshape(x.shape) + dxx[:, BLOCK:]
+    dx = dx.reshape(shape)
+    dx += dxx[:, BLOCK:]
     dx[:-1] += dxx[1:, :BLOCK]
-    order = np.argsort(s_of.astype(np.int16), kind="stable")
-    met = s_of[order]
+    order = np.argsort(slots.astype(np.int16), kind="stable")
+    met = slots[order]
     first = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
     g["embed"] = np.zeros_like(p["embed"])
-    g["embed"][met[first]] = np.add.reduceat(dx.reshape(-1, d)[order], first, axis=0)
+    g["embed"][met[first]] = np.add.reduceat(dx.reshape(-1, d).take(order, axis=0), first, axis=0)
     return loss, g
 
 
@@ -230,13 +276,10 @@ def trained(p: dict[str, np.ndarray], vocab: Vocabulary, windows: list[np.ndarra
             at, begins = blocks_of(lengths)
             if not len(begins):
                 continue
-            slots, group, leaf = (np.zeros(len(begins) * BLOCK, np.int64) for _ in range(3))
-            real = np.zeros(len(begins) * BLOCK, bool)
+            slots = np.zeros(len(begins) * BLOCK, np.int64)
             targets = np.concatenate([w[1:] for w in part])
-            slots[at] = vocab.slot[np.concatenate([w[:-1] for w in part])]
-            group[at], leaf[at], real[at] = vocab.group[targets], vocab.leaf[targets], True
-            shape = (-1, BLOCK)
-            loss, g = _gradients(p, vocab, slots.reshape(shape), group.reshape(shape), leaf.reshape(shape), real.reshape(shape), begins)
+            slots[at] = vocab.slot.take(np.concatenate([w[:-1] for w in part]))
+            loss, g = _gradients(p, vocab, slots, vocab.group.take(targets), vocab.leaf.take(targets), at, begins)
             total += loss
             step += 1
             now = rate * min(1.0, step / 10) * (1.0 - 0.9 * step / (count + 1))

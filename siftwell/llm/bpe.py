@@ -374,6 +374,80 @@ class LibraryBPE(SpeculativeBPE):
         return out
 
 
+class Greedy:
+    """SpeculativeBPE.proposed() for many pieces at once: all walk one table of the tokens' prefixes, a byte a step.
+
+    Bytes that are in no longer token share a column of the table, in which nothing goes on.
+    """
+
+    #: Pieces that walk together, and the bytes of one at most; a longer one is split by itself.
+    TOGETHER, LONGEST = 1 << 14, 64
+
+    def __init__(self, enc: SpeculativeBPE):
+        self.enc = enc
+        tokens = [*enc.inner.items(), *enc.final.items()]
+        used = sorted(set(b"".join(t for t, _ in tokens if len(t) > 1)))
+        self.kind = np.zeros(256, np.int32)
+        self.kind[used] = np.arange(1, len(used) + 1)
+        self.kinds = len(used) + 1
+        state: dict[bytes, int] = {b"": 1}  # 0: no token goes on so
+        for t, _ in tokens:
+            if self.kind[t[0]]:
+                for i in range(1, len(t) + 1):
+                    state.setdefault(t[:i], len(state) + 1)
+        self.inner, self.final = (np.full(len(state) + 1, -1, np.int32) for _ in range(2))
+        for ids, of in ((self.inner, enc.inner), (self.final, enc.final)):
+            ids[[state.get(t, 0) for t in of]] = list(of.values())
+            ids[0] = -1
+        self.alone = np.array([[of.get(bytes([b]), -1) for b in range(256)] for of in (enc.inner, enc.final)])
+        self.step = np.zeros((len(state) + 1) * self.kinds, np.int32)
+        prefixes = list(state)[1:]
+        self.step[np.array([state[t[:-1]] for t in prefixes]) * self.kinds + self.kind[[t[-1] for t in prefixes]]] = [state[t] for t in prefixes]
+
+    def split(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the number of ids of each piece."""
+        parts = [self._walked(pieces[a : a + self.TOGETHER]) for a in range(0, len(pieces), self.TOGETHER)]
+        return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
+
+    def _walked(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        end = np.cumsum(size)
+        first = end - size
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        kind = self.kind.take(raw)
+        out = np.full(len(raw), -1, np.int64)  # each token's id at its first byte
+        ends = np.zeros(len(raw), np.int64)
+        ends[end[size > 0] - 1] = 1
+        for k in np.flatnonzero(size > self.LONGEST).tolist():
+            ids = self.enc.proposed(pieces[k])
+            out[first[k] : first[k] + len(ids)] = ids
+        lone = self.alone[ends, raw]
+        live = (size > 0) & (size <= self.LONGEST)
+        start, end = first[live], end[live]
+        at, state = start.copy(), np.ones(len(start), np.int32)
+        best, upto = np.full(len(start), -1, np.int32), start + 1
+        while len(at):
+            state = self.step.take(state * self.kinds + kind.take(at))
+            at += 1
+            last = at == end
+            met = np.where(last, self.final.take(state), self.inner.take(state))
+            found = met >= 0
+            np.copyto(best, met, where=found)
+            np.copyto(upto, at, where=found)
+            stop = np.flatnonzero((state == 0) | last)
+            if len(stop):
+                here = start.take(stop)
+                out[here] = np.where(best.take(stop) >= 0, best.take(stop), lone.take(here))
+                start[stop] = at[stop] = upto.take(stop)
+                state[stop], best[stop] = 1, -1
+                more = start != end
+                if not more.all():
+                    start, end, at, state, best, upto = (x[more] for x in (start, end, at, state, best, upto))
+                upto = np.maximum(upto, start + 1)
+        has = out >= 0
+        return out[has], np.diff(np.concatenate([[0], np.cumsum(has)])[np.concatenate([[0], first + size])])
+
+
 def opened(blob: bytes, kind: type[SpeculativeBPE] = SpeculativeBPE, most: int = WORD_STORE) -> SpeculativeBPE:
     """One encoder a worker process for each vocabulary."""
     return kept((kind.__name__, most, hashlib.md5(blob).digest()), lambda: kind(blob, most))

@@ -159,9 +159,13 @@ def vocabulary_of(seen: DataFrame, size: int) -> attention.Vocabulary:
 
     def beside(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         a, b = neighbours(ids, offsets)
-        cells = [np.where((place[x] >= 0) & (near[y] >= 0), place[x] * 2 * NEIGHBOURS + side + near[y], -1) for x, y, side in ((a, b, 0), (b, a, NEIGHBOURS))]
-        cells = np.concatenate(cells)
-        return cells[cells >= 0]
+        cells = []
+        for x, y, side in ((a, b, 0), (b, a, NEIGHBOURS)):
+            y = near.take(y)
+            met = np.flatnonzero(y >= 0)
+            x, y = place.take(x.take(met)), y.take(met)
+            cells.append((x * 2 * NEIGHBOURS + side + y)[x >= 0])
+        return np.concatenate(cells)
 
     table = tallied(seen, GROUPED * 2 * NEIGHBOURS, beside).reshape(GROUPED, 2 * NEIGHBOURS).astype(np.float64)
     x = np.sqrt((table + 0.05) / (table + 0.05).sum(axis=1, keepdims=True))
@@ -183,7 +187,7 @@ def vocabulary_of(seen: DataFrame, size: int) -> attention.Vocabulary:
 
     def following(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         a, b = neighbours(ids, offsets)
-        return slot[a] * cells + cell[b]
+        return slot.take(a) * cells + cell.take(b)
 
     vocab.follow(tallied(seen, slots * cells, following).reshape(slots, cells))
     return vocab
@@ -264,6 +268,7 @@ class WordStore:
 
     def __init__(self, enc: bpe.SpeculativeBPE, known: np.ndarray, value: np.ndarray):
         self.enc, self.known, self.value = enc, known, value
+        self.greedy = bpe.Greedy(enc)
         self.reset()
 
     def reset(self) -> None:
@@ -274,16 +279,13 @@ class WordStore:
     def full(self) -> bool:
         return len(self.code) > STORED
 
-    def _split(self, word: bytes) -> list[int]:
-        split = self.enc.proposed
+    def _pieces(self, word: bytes) -> list[bytes]:
         if word.isalpha():
-            return split(word)
+            return [word]
         if word[:-1].isalpha() and word[-1] in b".,;:!?":
-            return split(word[:-1]) + split(word[-1:])
+            return [word[:-1], word[-1:]]
         pieces = [p.encode("utf-8") for p in self.enc.find(word.decode("utf-8"))]
-        if len(pieces) == 1 or b"".join(pieces) != word:
-            return split(word)
-        return [t for p in pieces for t in split(p)]
+        return pieces if b"".join(pieces) == word else [word]
 
     def _learn(self, new: list[bytes]) -> None:
         key = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
@@ -292,10 +294,12 @@ class WordStore:
             at = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
             hit = self.known[at] == key
             logs = np.where(hit, self.value[at], 0.0)
-        ids = list(map(self._split, new))
-        length = np.fromiter(map(len, ids), np.int32, len(ids))
+        pieces = list(map(self._pieces, new))
+        ids, per_piece = self.greedy.split(list(chain.from_iterable(pieces)))
+        ends = np.concatenate([[0], np.cumsum(per_piece)])[np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))]
+        length = np.diff(ends, prepend=0).astype(np.int32)
         start = len(self.flat) + np.cumsum(length, dtype=np.int64) - length
-        more = (key, logs, hit, start, length, np.fromiter(chain.from_iterable(ids), np.int32, int(length.sum())))
+        more = (key, logs, hit, start, length, ids.astype(np.int32))
         self.key, self.logs, self.hit, self.start, self.length, self.flat = (np.concatenate(x) for x in zip((self.key, self.logs, self.hit, self.start, self.length, self.flat), more))
         self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
 

@@ -247,6 +247,39 @@ def test_lm_words_have_ids_of_their_own():
     assert all(ids) and len(set(ids)) == len(words)
 
 
+def test_lm_pieces_are_split_together():
+    with open(TOKENIZER, "rb") as f:
+        enc = bpe.SpeculativeBPE(f.read())
+    rng = np.random.default_rng(8)
+    drawn = ["".join(map(chr, rng.choice([*range(33, 127), 0xE9, 0xDF, 0x3B1, 0x65E5, 0x1F600], rng.integers(1, 90)))) for _ in range(300)]
+    pieces = [w.encode("utf-8") for w in [*drawn, "a", "the", "\x00\x01", "a\x7fb", "\U0010ffff", "\u0378q", "a" * 300, "", "information", "\u65e5" * 40]]
+    ids, n = bpe.Greedy(enc).split(pieces)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [enc.proposed(w) for w in pieces]
+    assert [len(x) for x in bpe.Greedy(enc).split([])] == [0, 0]
+
+
+def test_attention_gradients_are_differences():
+    rng = np.random.default_rng(12)
+    v = attention.Vocabulary(rng.integers(0, 50, 300), rng.integers(0, attention.GROUPS, 300))
+    v.follow(rng.poisson(0.3, (attention.INPUTS + attention.GROUPS, attention.GROUPS * attention.LEAVES)))
+    p = {k: x + rng.normal(0, 0.1, x.shape).astype(np.float32) for k, x in attention.fresh(v).items()}
+    lengths = np.array([40, 1, 16, 33])
+    inputs, targets = (rng.integers(0, 300, lengths.sum()) for _ in range(2))
+    at, begins = attention.blocks_of(lengths)
+    slots = np.zeros(len(begins) * attention.BLOCK, np.int64)
+    slots[at] = v.slot[inputs]
+    loss, g = attention._gradients(p, v, slots, v.group[targets], v.leaf[targets], at, begins)
+    mean = lambda q: -(attention.log_probs(q, v, inputs, targets, lengths) - v.share_log[targets]).mean()
+    assert abs(loss - mean(p)) < 1e-4
+    for k, x in p.items():
+        way = np.where(g[k] > 0, 1, -1).astype(np.float32)
+        met = abs(g[k]) > 0.1 * abs(g[k]).max()
+        step = (2e-3 * way * met).astype(np.float32)
+        up, down = mean(p | {k: x + step}), mean(p | {k: x - step})
+        want = 2 * float((g[k] * step).sum())
+        assert abs(up - down - want) < 0.03 * want + 2e-6, k
+
+
 def test_lm_scores_do_not_depend_on_neighbours():
     rng = np.random.default_rng(0)
     size, lengths = 3000, rng.integers(1, 400, 60)
