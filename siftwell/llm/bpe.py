@@ -245,50 +245,45 @@ class SpeculativeBPE:
                 return [word[:-1], word[-1]]
         return self.find(word)
 
+    def split_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words as one array, and the number of ids of each."""
+        ids = self.split_words(words)
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())), n
+
     def _learn(self, words: list[str | int]) -> None:
-        """Store the ids of words as they stand between white space; an int is a special token's id."""
-        parts = [None if isinstance(w, int) else self._parts(w) for w in words]
-        codes, flat, start, length = self.codes, self.flat, self.start, self.length
-        first, many = [ps[0] for ps in parts if ps and len(ps) == 1], [p for ps in parts if ps and len(ps) > 1 for p in ps]
-        new = [p for p in dict.fromkeys(chain(first, many)) if p not in codes]
-        made: dict[str, bytes] = {}
+        """Store the ids of words as they stand between white space; an int is a special token's id.
+
+        Pre-tokens are words of other texts: they are stored as such, and other words are put together from them.
+        """
+        special = [w for w in words if isinstance(w, int)]
+        self._store(special, np.array(special, np.uint32), np.ones(len(special), np.int64))
+        words = [w for w in words if not isinstance(w, int)]
+        parts = list(map(self._parts, words))
+        new = [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in self.codes]
         for a in range(0, len(new), LEARNED):
             part = new[a : a + LEARNED]
-            made.update(zip(part, self._packed(self.split_words(part))))
-
-        def packed(p: str) -> bytes:
-            if (raw := made.get(p)) is None:
-                at = start[c := codes[p]]
-                raw = flat[at : at + length[c]].tobytes()
-            return raw
-
-        split = [int(w).to_bytes(4, "little") if ps is None else packed(ps[0]) if len(ps) == 1 else b"".join(map(packed, ps)) for w, ps in zip(words, parts)]
-        have = set(words)  # pre-tokens are words of other texts: they are kept as such
-        more = [p for p in dict.fromkeys(many) if p in made and p not in have]
-        words = words + more
-        split += [made[p] for p in more]
-        lens = np.fromiter(map(len, split), np.int64, len(split)) // 4
-        n, k = int(lens.sum()), self.count
+            self._store(part, *self.split_flat(part))
+        rest = [(w, ps) for w, ps in zip(words, parts) if len(ps) != 1 or ps[0] != w]
+        size = np.fromiter((len(ps) for _, ps in rest), np.int64, len(rest))
+        of = np.fromiter((self.codes[p] for _, ps in rest for p in ps), np.int64, int(size.sum()))
+        ids, n = self.ids_of(of)
+        self._store([w for w, _ in rest], ids, np.diff(np.concatenate([[0], np.cumsum(n)])[np.cumsum(size)], prepend=0))
+
+    def _store(self, words: list[str | int], ids: np.ndarray, lens: np.ndarray) -> None:
+        n, k = len(ids), self.count
         while self.used + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while k + len(words) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        self.flat[self.used : self.used + n] = np.frombuffer(b"".join(split), "<u4")
+        self.flat[self.used : self.used + n] = ids
         self.length[k : k + len(words)] = lens
         self.start[k : k + len(words)] = self.used + np.cumsum(lens) - lens
         self.used += n
         self.codes.update(zip(words, range(k, k + len(words))))
         self.count += len(words)
 
-    @staticmethod
-    def _packed(ids: list[list[int]]) -> list[bytes]:
-        """The ids of each word as unsigned 32-bit bytes: a fraction of a list's memory."""
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        raw = np.fromiter(chain.from_iterable(ids), "<u4", int(n.sum())).tobytes()
-        ends = 4 * np.cumsum(n)
-        return [raw[a:b] for a, b in zip((ends - 4 * n).tolist(), ends.tolist())]
-
     def words(self, text: str) -> list[str | int]:
         """Normalised words between white space; strings of special tokens become their ids."""
         if self.special_pattern is not None and "<|" in text:
@@ -360,18 +355,18 @@ class LibraryBPE(SpeculativeBPE):
         self.library = Tokenizer.from_str(blob.decode("utf-8"))
         self.closes = np.array([t.endswith(self.suffix) for t in self.text], bool)
 
-    def split_words(self, words: list[str]) -> list[list[int]]:
+    def split_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words go to the library in lines; each ends with its one token that closes a word."""
-        out: list[list[int]] = []
+        out = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
         lines = [words[a : a + 512] for a in range(0, len(words), 512)]
-        for line, e in zip(lines, self.library.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
-            ids = e.ids
-            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
-            if len(ends) == len(line) and unicodedata.is_normalized("NFC", " ".join(line)):
-                out += [ids[a:b] for a, b in zip([0, *ends], ends)]
-            else:  # lower-casing undid the normal form, or a character that the library splits at and we don't
-                out += super().split_words(line)
-        return out
+        joined = list(map(" ".join, lines))
+        for line, text, e in zip(lines, joined, self.library.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            n = np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
+            if len(n) != len(line) or not unicodedata.is_normalized("NFC", text):  # lower-casing undid the normal form, or a character that the library splits at and we don't
+                ids, n = super().split_flat(line)
+            out.append((ids, n))
+        return tuple(map(np.concatenate, zip(*out)))
 
 
 class Greedy:

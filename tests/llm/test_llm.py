@@ -208,6 +208,23 @@ def test_bpe_equals_the_library(docs, plain):
     assert {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER).collect()} == {i: lib.decode(w.ids, skip_special_tokens=False) for i, w in zip(plain, want)}
 
 
+def test_words_are_learned_by_arrays():
+    from tokenizers import Tokenizer
+
+    with open(TOKENIZER, "rb") as f:
+        blob = f.read()
+    library = Tokenizer.from_str(blob.decode("utf-8"))
+    words = ["the", "don't", "a.b,c", "!!'s", "\u0130x", "\u0915\u093c", "x\u00a0y", "\u3000", "12", "e\u0301e"]
+    for kind in (bpe.SpeculativeBPE, bpe.LibraryBPE):
+        enc = kind(blob)
+        ids, n = enc.split_flat(["the", "information", "zzqq"])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(w, add_special_tokens=False).ids for w in ("the", "information", "zzqq")]
+        enc._learn([*words, 2])
+        got, n = enc.ids_of(np.array([enc.codes[w] for w in [*words, 2]]))
+        plain = [enc.split_words(enc.find(w)) for w in words]
+        assert [x.tolist() for x in np.split(got, np.cumsum(n)[:-1])] == [*(sum(x, []) for x in plain), [2]]
+
+
 def test_lm_base_scores(docs, plain):
     got = {r.doc_id: r for r in lm.scored(docs, TOKENIZER, frequent=50).collect()}
     train = {i: t for i, t in plain.items() if zlib.crc32(str(i).encode()) % 5 != 1}
