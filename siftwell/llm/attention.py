@@ -30,6 +30,7 @@ CHUNK = 256
 _OFFSET = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
 _HIDDEN = _OFFSET < 0
 _SLOT = np.clip(_OFFSET, 0, 2 * BLOCK - 1)
+_SEEN = _SLOT[~_HIDDEN]
 _ONES = np.ones(2 * BLOCK, np.float32)
 _NAMES = ("embed", "look", "move", "near", "top", "top_bias", "leaf", "leaf_bias")
 #: Factors of a product of whole numbers are rounded to this part; up to 8192 its sums are exact.
@@ -108,24 +109,17 @@ def _capped(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _with_before(x: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Each block after the block that precedes it; before: the one that precedes the first."""
-    xx = np.empty((len(x), 2 * BLOCK, x.shape[2]), np.float32)
-    xx[:, BLOCK:] = x
-    xx[1:, :BLOCK] = x[:-1]
-    xx[0, :BLOCK] = before
-    return xx
+def _with_before(x: np.ndarray) -> np.ndarray:
+    """Each block after the first together with the block that precedes it, as a view."""
+    return np.ndarray((len(x) - 1, 2 * BLOCK, x.shape[2]), x.dtype, x, 0, x.strides)
 
 
-def _weights(q: np.ndarray, xx: np.ndarray, near: np.ndarray, begins: np.ndarray, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Attention weights of queries q before division, and what they are divided by."""
+def _weights(q: np.ndarray, xx: np.ndarray, near: np.ndarray, begins: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Attention weights of queries q, before they are divided by their sums."""
     s = np.matmul(q, xx.transpose(0, 2, 1), out=out)
     s += near
     s[begins, :, :BLOCK] = -1e9
-    np.exp(_capped(s), out=s)
-    total = np.matmul(s, _ONES)
-    total += np.float32(1e-30)
-    return s, total
+    return np.exp(_capped(s), out=s)
 
 
 def _whole(x: np.ndarray) -> np.ndarray:
@@ -138,53 +132,64 @@ def _exp(logits: np.ndarray) -> np.ndarray:
     return np.exp(logits, out=logits)
 
 
+class Scorer:
+    """log_probs() of one model. What depends on a slot alone is worked out once and looked up."""
+
+    def __init__(self, p: dict[str, np.ndarray], vocab: Vocabulary):
+        self.vocab, self.embed = vocab, p["embed"]
+        self.asks, self.near = p["embed"] @ p["look"], _near(p)
+        # a token's own part in what comes out, and what is done to what it attends to
+        self.top = p["move"] @ p["top"]
+        self.top_at = vocab.top_log + p["top_bias"] + p["embed"] @ p["top"]
+        self.leaf = _whole(np.matmul(p["move"], p["leaf"])) * PART**2
+        self.leaf_at = (vocab.leaf_log + p["leaf_bias"] + np.matmul(p["embed"], p["leaf"]).transpose(1, 0, 2)).reshape(-1, LEAVES)
+
+    def log_probs(self, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Natural log probability of each target, given the inputs of its sequence so far."""
+        vocab = self.vocab
+        at, begins = blocks_of(lengths)
+        nb = len(begins)
+        slots, group, leaf = (np.zeros(nb * BLOCK, np.int64) for _ in range(3))
+        slots[at] = vocab.slot.take(inputs)
+        group[at] = vocab.group.take(targets)
+        leaf[at] = vocab.leaf.take(targets)
+        out = np.zeros(nb * BLOCK, np.float32)
+        x = np.zeros((CHUNK + 1, BLOCK, WIDTH), np.float32)
+        for a in range(0, nb, CHUNK):
+            b = min(nb, a + CHUNK)
+            here = slice(a * BLOCK, b * BLOCK)
+            at_slot, g = slots[here], group[here]
+            x[0] = x[CHUNK]
+            x = x[: b - a + 1]
+            x[1:] = self.embed.take(at_slot, axis=0).reshape(-1, BLOCK, WIDTH)
+            xx = _with_before(x)
+            w = _weights(self.asks.take(at_slot, axis=0).reshape(-1, BLOCK, WIDTH), xx, self.near, begins[a:b])
+            c = np.matmul(w, xx)
+            c *= (1 / (np.matmul(w, _ONES) + np.float32(1e-30)))[:, :, None]
+            z = np.matmul(c, self.top).reshape(-1, GROUPS)
+            z += self.top_at.take(at_slot, axis=0)
+            _capped(z)
+            rows = np.arange(len(z))
+            score = z.ravel().take(rows * GROUPS + g)
+            score -= np.log(np.matmul(_exp(z).reshape(-1, BLOCK, GROUPS), _ONES[:GROUPS]).ravel() + np.float32(1e-30))
+            order = np.argsort(g.astype(np.int8), kind="stable")
+            g = g.take(order)
+            edge = np.searchsorted(g, np.arange(GROUPS + 1)).tolist()
+            c = _whole(c.reshape(-1, WIDTH).take(order, axis=0))
+            z = self.leaf_at.take(at_slot.take(order) * GROUPS + g, axis=0)
+            for k, i, j in zip(range(GROUPS), edge, edge[1:]):
+                if i < j:
+                    z[i:j] += (c[i:j] @ self.leaf[k]).astype(np.float32)
+            _capped(z)
+            part = z.ravel().take(rows * LEAVES + leaf[here].take(order))
+            part -= np.log(np.einsum("ij->i", _exp(z)) + np.float32(1e-30))
+            score[order] += part
+            out[here] = score
+        return out[at].astype(np.float64) + vocab.share_log.take(targets)
+
+
 def log_probs(p: dict[str, np.ndarray], vocab: Vocabulary, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Natural log probability of each target, given the inputs of its sequence so far."""
-    at, begins = blocks_of(lengths)
-    nb = len(begins)
-    slots, group, leaf = (np.zeros(nb * BLOCK, np.int32) for _ in range(3))
-    slots[at] = vocab.slot.take(inputs)
-    group[at] = vocab.group.take(targets)
-    leaf[at] = vocab.leaf.take(targets)
-    out = np.zeros(nb * BLOCK, np.float32)
-    before = np.zeros((BLOCK, WIDTH), np.float32)
-    leaves = _whole(p["leaf"]) * PART**2
-    # what depends on a slot alone is looked up
-    asks, top_at, leaf_at = p["embed"] @ p["look"], vocab.top_log + p["top_bias"], (vocab.leaf_log + p["leaf_bias"]).reshape(-1, LEAVES)
-    near = _near(p)
-    for a in range(0, nb, CHUNK):
-        b = min(nb, a + CHUNK)
-        here = slice(a * BLOCK, b * BLOCK)
-        at_slot, g = slots[here], group[here]
-        x = p["embed"].take(at_slot, axis=0).reshape(b - a, BLOCK, WIDTH)
-        xx = _with_before(x, before)
-        before = x[-1]
-        w, total = _weights(asks.take(at_slot, axis=0).reshape(x.shape), xx, near, begins[a:b])
-        c = np.matmul(w, xx)
-        c /= total[:, :, None]
-        h = np.matmul(c, p["move"])
-        h += x
-        z = np.matmul(h, p["top"]).reshape(-1, GROUPS)
-        z += top_at.take(at_slot, axis=0)
-        _capped(z)
-        rows = np.arange(len(z))
-        score = z.ravel().take(rows * GROUPS + g)
-        score -= np.log(np.matmul(_exp(z).reshape(-1, BLOCK, GROUPS), _ONES[:GROUPS]).ravel() + np.float32(1e-30))
-        order = np.argsort(g.astype(np.int8), kind="stable")
-        g = g.take(order)
-        edge = np.searchsorted(g, np.arange(GROUPS + 1)).tolist()
-        h = _whole(h.reshape(-1, WIDTH).take(order, axis=0))
-        z = np.empty((len(h), LEAVES), np.float32)
-        for k, i, j in zip(range(GROUPS), edge, edge[1:]):
-            if i < j:
-                z[i:j] = h[i:j] @ leaves[k]
-        z += leaf_at.take(at_slot.take(order) * GROUPS + g, axis=0)
-        _capped(z)
-        part = z.ravel().take(rows * LEAVES + leaf[here].take(order))
-        part -= np.log(np.einsum("ij->i", _exp(z)) + np.float32(1e-30))
-        score[order] += part
-        out[here] = score
-    return out[at].astype(np.float64) + vocab.share_log.take(targets)
+    return Scorer(p, vocab).log_probs(inputs, targets, lengths)
 
 
 def _softmax_gradient(z: np.ndarray, own: np.ndarray, n: float) -> float:
@@ -203,15 +208,20 @@ def _gradients(p, vocab, slots, group, leaf, at, begins):
     """Mean loss over the real places `at` and its gradients; slots: of all places of all blocks, group and leaf: of the real ones."""
     d = WIDTH
     shape = (-1, BLOCK, d)
-    x = p["embed"].take(slots, axis=0)
-    q = (x @ p["look"]).reshape(shape)
-    xx = _with_before(x.reshape(shape), np.zeros((BLOCK, d), np.float32))
+    # a column of ones sums the weights up, and takes means off their gradients
+    x = np.zeros((len(begins) + 1, BLOCK, d + 1), np.float32)
+    own = np.ones((len(p["embed"]), d + 1), np.float32)
+    own[:, :d] = p["embed"]
+    x[1:] = own.take(slots, axis=0).reshape(-1, BLOCK, d + 1)
+    xx, x = _with_before(x), x[1:].reshape(-1, d + 1)[:, :d]
     # weights and their gradients in one array, and what is summed by them in another
-    both, beside = np.empty((len(q), 2 * BLOCK, 2 * BLOCK), np.float32), np.empty((len(q), 2 * BLOCK, d), np.float32)
-    s, ds = both[:, :BLOCK], both[:, BLOCK:]
-    s, total = _weights(q, xx, _near(p), begins, s)
-    s *= (1 / total)[:, :, None]
+    both, beside = np.empty((len(xx), 2 * BLOCK, 2 * BLOCK), np.float32), np.empty((len(xx), 2 * BLOCK, d), np.float32)
+    s, ds, dc, q = both[:, :BLOCK], both[:, BLOCK:], beside[:, :BLOCK], beside[:, BLOCK:]
+    q[:] = (p["embed"] @ p["look"]).take(slots, axis=0).reshape(shape)
+    _weights(q, xx[:, :, :d], _near(p), begins, s)
     c = np.matmul(s, xx)
+    scale = 1 / (c[:, :, d:] + np.float32(1e-30))
+    c = c[:, :, :d] * scale
     order = np.argsort(group.astype(np.int8), kind="stable")
     edge = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
     place, group, leaf = at[order], group[order], leaf[order]
@@ -238,34 +248,34 @@ def _gradients(p, vocab, slots, group, leaf, at, begins):
             own = h[i:j].T @ z[i:j]
             g["leaf"][k], g["leaf_bias"][k] = own[:d], own[d]
             dh[i:j] += z[i:j] @ p["leaf"][k].T
-    real, dh = dh, np.zeros((len(slots), d), np.float32)
-    dh[place] = real
+    back = np.full(len(slots), len(dh))
+    back[place] = np.arange(len(dh))
+    dh = np.concatenate([dh, np.zeros((1, d), np.float32)]).take(back, axis=0)
     g["move"] = c.reshape(-1, d).T @ dh
-    dc = (dh @ p["move"].T).reshape(shape)
-    np.matmul(dc, xx.transpose(0, 2, 1), out=ds)
-    ds -= np.einsum("bid,bid->bi", dc, c)[:, :, None]
+    np.multiply((dh @ p["move"].T).reshape(shape), scale, out=dc)
+    off = np.empty((len(xx), BLOCK, d + 1), np.float32)
+    off[:, :, :d] = dc
+    np.negative(np.einsum("bid,bid->bi", dc, c), out=off[:, :, d])
+    np.matmul(off, xx.transpose(0, 2, 1), out=ds)
     ds *= s
-    g["near"] = np.bincount(_SLOT[~_HIDDEN], weights=ds.sum(axis=0)[~_HIDDEN], minlength=2 * BLOCK).astype(np.float32)
-    dq = np.matmul(ds, xx).reshape(-1, d)
-    beside[:, :BLOCK], beside[:, BLOCK:] = dc, q
+    g["near"] = np.bincount(_SEEN, weights=ds.sum(axis=0)[~_HIDDEN], minlength=2 * BLOCK).astype(np.float32)
+    dq = np.matmul(ds, xx[:, :, :d]).reshape(-1, d)
     dxx = np.matmul(both.transpose(0, 2, 1), beside)
     g["look"] = x.T @ dq
     dx = dh + dq @ p["look"].T
     dx = dx.reshape(shape)
     dx += dxx[:, BLOCK:]
     dx[:-1] += dxx[1:, :BLOCK]
-    order = np.argsort(slots.astype(np.int16), kind="stable")
-    met = slots[order]
-    first = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
-    g["embed"] = np.zeros_like(p["embed"])
-    g["embed"][met[first]] = np.add.reduceat(dx.reshape(-1, d).take(order, axis=0), first, axis=0)
+    cells = np.arange(p["embed"].size).reshape(-1, d).take(slots, axis=0)
+    g["embed"] = np.bincount(cells.ravel(), weights=dx.ravel(), minlength=p["embed"].size).astype(np.float32).reshape(-1, d)
     return loss, g
 
 
 def trained(p: dict[str, np.ndarray], vocab: Vocabulary, windows: list[np.ndarray], rate: float, batch: int = 32, least_steps: int = 1) -> tuple[dict[str, np.ndarray], float]:
     """Adam over windows of ids (a window's first id is input only): whole passes until least_steps are made."""
-    p = {k: v.copy() for k, v in p.items()}
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+    flat = packed(p)
+    p = unpacked(flat, p)
+    m, v = np.zeros_like(flat), np.zeros_like(flat)
     step, total = 0, 0.0
     passes = max(1, -(-least_steps // max(1, -(-len(windows) // batch))))
     count = max(1, passes * -(-len(windows) // batch))
@@ -277,16 +287,18 @@ def trained(p: dict[str, np.ndarray], vocab: Vocabulary, windows: list[np.ndarra
             if not len(begins):
                 continue
             slots = np.zeros(len(begins) * BLOCK, np.int64)
-            targets = np.concatenate([w[1:] for w in part])
-            slots[at] = vocab.slot.take(np.concatenate([w[:-1] for w in part]))
+            ids = np.concatenate(part)
+            ends = np.cumsum(lengths + 1)
+            targets = np.delete(ids, ends - lengths - 1)
+            slots[at] = vocab.slot.take(np.delete(ids, ends - 1))
             loss, g = _gradients(p, vocab, slots, vocab.group.take(targets), vocab.leaf.take(targets), at, begins)
             total += loss
             step += 1
             now = rate * min(1.0, step / 10) * (1.0 - 0.9 * step / (count + 1))
-            for k in _NAMES:
-                m[k] += 0.1 * (g[k] - m[k])
-                v[k] += 0.01 * (g[k] * g[k] - v[k])
-                p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            g = packed(g)
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            flat -= now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return p, total / max(1, step)
 
 
@@ -297,6 +309,6 @@ def packed(p: dict[str, np.ndarray]) -> np.ndarray:
 def unpacked(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k in _NAMES:
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32, copy=False)
         at += like[k].size
     return out

@@ -401,20 +401,26 @@ class Greedy:
 
     def split(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each piece."""
-        parts = [self._walked(pieces[a : a + self.TOGETHER]) for a in range(0, len(pieces), self.TOGETHER)]
+        return self.walked(np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+
+    def walked(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """split() of pieces that follow each other in one array of bytes."""
+        ends = np.concatenate([[0], np.cumsum(size)])
+        parts = []
+        for a in range(0, len(size), self.TOGETHER):
+            some = size[a : a + self.TOGETHER]
+            parts.append(self._walked(raw[ends[a] : ends[a + len(some)]], some))
         return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
 
-    def _walked(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    def _walked(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         end = np.cumsum(size)
         first = end - size
-        raw = np.frombuffer(b"".join(pieces), np.uint8)
         kind = self.kind.take(raw)
         out = np.full(len(raw), -1, np.int64)  # each token's id at its first byte
         ends = np.zeros(len(raw), np.int64)
         ends[end[size > 0] - 1] = 1
         for k in np.flatnonzero(size > self.LONGEST).tolist():
-            ids = self.enc.proposed(pieces[k])
+            ids = self.enc.proposed(raw[first[k] : end[k]].tobytes())
             out[first[k] : first[k] + len(ids)] = ids
         lone = self.alone[ends, raw]
         live = (size > 0) & (size <= self.LONGEST)

@@ -264,6 +264,37 @@ def test_lm_words_have_ids_of_their_own():
     assert all(ids) and len(set(ids)) == len(words)
 
 
+def test_lm_words_are_found_by_arrays():
+    with open(TOKENIZER, "rb") as f:
+        blob = f.read()
+    enc = bpe.SpeculativeBPE(blob)
+    rng = np.random.default_rng(11)
+    signs = [*"abT19's.-", "ll", " ", "\n", "\x0b", "\x1c", "\x00", "\x85", "\u00a0", "\u3000", "\u00e9", "\u0130", "\u00b2", "\U0001f600", "x" * 70]
+    texts = [None, "", "  ", " a", *("".join(rng.choice(signs, rng.integers(0, 50))) for _ in range(3000)), "w" * 1000, "a ", None, ""]
+    text, start, size, words = lm.words_in(pa.array(texts))
+    plain = [lm.words_of(t) for t in texts]
+    flat = [w for ws in plain for w in ws]
+    assert words.tolist() == [len(ws) for ws in plain]
+    assert [text[a : a + n] for a, n in zip(start.tolist(), size.tolist())] == flat
+    none = np.zeros(0)
+    store = lm.WordStore(enc, none.astype(np.uint64), none)
+    store._open(4)  # grows with its words
+    for _ in range(2):
+        code = store.codes_in(text, start, size)
+        assert len(store.key) == len(set(flat)) and store.key[code].tolist() == [xxhash.xxh64_intdigest(w) for w in flat]
+        ids, n = store.ids(code)
+        for w, got in list(zip(flat, np.split(ids, np.cumsum(n)[:-1])))[:5000]:
+            pieces = [p.encode() for p in enc.find(w.decode())]
+            assert got.tolist() == sum(map(enc.proposed, pieces if b"".join(pieces) == w else [w]), [])
+    # scoring goes on with the words that gathering has learned
+    first = lm.store_of(blob, none.astype(np.uint64), none)
+    code = first.codes([b"a", b"b"])
+    known = np.array([xxhash.xxh64_intdigest(b"b")], np.uint64)
+    again = lm.store_of(blob, known, np.array([2.5]))
+    assert again is first and again.codes([b"a", b"b"]).tolist() == code.tolist()
+    assert (again.hit[code].tolist(), again.logs[code].tolist()) == ([False, True], [0.0, 2.5])
+
+
 def test_lm_pieces_are_split_together():
     with open(TOKENIZER, "rb") as f:
         enc = bpe.SpeculativeBPE(f.read())
