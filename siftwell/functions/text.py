@@ -31,6 +31,7 @@ LANGUAGES = {
 }
 RRF_K, LEXICAL_WEIGHT = 20, 2.0
 MAX_TERMS = 8
+TERM_BYTES = 40
 
 
 def _c(x: Column | str) -> Column:
@@ -154,8 +155,13 @@ def clamp(limit: int, most: int) -> int:
 
 
 def tokens(text: Column | str) -> Column:
-    """Lower-cased runs of letters and digits of at most 40 bytes."""
-    return F.filter(F.split(F.lower(_c(text)), r"[^\p{L}\p{N}]+"), lambda t: (t != "") & (F.octet_length(t) <= 40))
+    """Lower-cased runs of letters and digits of at most TERM_BYTES bytes."""
+    return F.filter(F.split(F.lower(_c(text)), r"[^\p{L}\p{N}]+"), lambda t: (t != "") & (F.octet_length(t) <= TERM_BYTES))
+
+
+def spaced(text: Column | str) -> Column:
+    """Lower-cased runs of letters and digits, of any length, with a space between."""
+    return F.regexp_replace(F.lower(_c(text)), r"[^\p{L}\p{N}]+", " ")
 
 
 def skill_tokens(text: Column | str) -> Column:

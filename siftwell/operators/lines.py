@@ -12,7 +12,8 @@ from siftwell.sources.workspace import until_nul
 def line_array(content: Column | str) -> Column:
     """Lines without their ends; no empty last line; empty content has none."""
     c = F.col(content) if isinstance(content, str) else content
-    parts = F.transform(F.split(F.regexp_replace(c, r"\n\z", ""), "\n"), lambda x: F.regexp_replace(x, r"\r\z", ""))
+    parts = F.split(F.regexp_replace(c, r"\n\z", ""), "\n")
+    parts = F.when(c.contains("\r"), F.transform(parts, lambda x: F.regexp_replace(x, r"\r\z", ""))).otherwise(parts)
     return F.when(F.length(c) > 0, parts).otherwise(F.array().cast("array<string>"))
 
 
