@@ -78,3 +78,24 @@ def test_lines_with_and_without_carriage_returns(spark):
 
     df = spark.createDataFrame([("a\r\nb\n",), ("a\nb",), ("\r\n\r",), ("",), ("\n\n",)], "c string")
     assert [r[0] for r in df.select(line_array("c")).collect()] == [["a", "b"], ["a", "b"], ["", ""], [], ["", ""]]
+
+
+def test_pool_recall_by_blocks(spark, monkeypatch):
+    from siftwell.operators import evaluation
+
+    monkeypatch.setattr(evaluation, "BLOCK", 3)
+    monkeypatch.setattr(evaluation, "POOL_ROWS", 8)
+    r = np.random.default_rng(5)
+    store = [(i, r.normal(size=4).round(1).tolist(), f"f{r.integers(5)}") for i in range(120)]
+    queries, pool = [*store[:9], (9, store[0][1], "alone"), (10, None, "f1")], store[9:]
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    got = evaluation.pool_recall(frame(queries, "query_id long, q array<double>, file string"), frame([*pool, (500, None, "f1"), (501, [1.0], "f2")], "item long, embedding array<double>, file string"))
+    assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
+    want = []
+    for _, q, file in queries:
+        scores = [(round(float(np.dot(q, e)), 6), f == file) for _, e, f in pool] if q else []
+        best = max((s for s, own in scores if own), default=None)
+        want.append(10**6 if best is None else sum(s > best for s, own in scores if not own))
+    row = got.first()
+    assert row.queries == len(queries)
+    assert [row.recall_1, row.recall_3, row.recall_10] == [round(sum(b < k for b in want) / len(want), 6) for k in (1, 3, 10)]
