@@ -99,3 +99,42 @@ def test_pool_recall_by_blocks(spark, monkeypatch):
     row = got.first()
     assert row.queries == len(queries)
     assert [row.recall_1, row.recall_3, row.recall_10] == [round(sum(b < k for b in want) / len(want), 6) for k in (1, 3, 10)]
+
+
+def test_index_of_many_segments(spark, tmp_path, monkeypatch):
+    from siftwell.operators import index as stored
+
+    monkeypatch.setattr(stored, "CHUNKS", 40)
+    monkeypatch.setattr(stored, "STEP", 16)
+    rows, queries = corpus(), [(0, "oak"), (1, "ash birch"), (2, "fir elm oak")]
+    index = stored.StoredIndex(spark, str(tmp_path / "index"), fields=("text",))
+    index.add(spark.createDataFrame(rows, CHUNK).repartition(3))
+    changed = [(p, s, e, b, t + " yew") for p, s, e, b, t in rows if p in ("p3", "p5")]
+    index.add(spark.createDataFrame(changed, CHUNK), spark.createDataFrame([("p7",)], "path string"))
+    # an add that ended before its marks doesn't count
+    late = stored._segment(*_late(), ["text"], 9)
+    spark.createDataFrame([x for b in late for x in b.to_pylist()], stored.SEGMENTS).write.mode("append").parquet(f"{index.place}/segments")
+    live = [r for r in rows if r[0] not in ("p3", "p5", "p7")] + changed
+    assert index._segments().where("field is null").count() > 15
+    for place in (index, index.compact(str(tmp_path / "packed"))):
+        made: dict = {}
+        for r in place.search(spark.createDataFrame(queries, ASK), 7).orderBy("query_id", "rank").collect():
+            made.setdefault(r.query_id, []).append((r.score, r.path, r.start))
+        assert made == brute(live, queries, 7)
+
+
+def _late():
+    import pyarrow as pa
+
+    return pa.table({"path": ["late"], "start": [1], "end": [1], "breadcrumb": [""]}), [pa.array(["oak oak"])]
+
+
+def test_index_is_written_without_a_shuffle(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from siftwell.operators.index import StoredIndex
+
+    plans, parquet = {}, DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: plans.update({path.rsplit("/", 1)[-1]: plan(self._df)}) or parquet(self, path, *a, **k))
+    StoredIndex(spark, str(tmp_path / "index")).add(spark.createDataFrame(corpus(20), CHUNK))
+    assert not [p for name, p in plans.items() if name != "marks" and "Exchange" in p] and len(plans) == 2
