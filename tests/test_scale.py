@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from siftwell.operators import lexical
@@ -138,3 +139,11 @@ def test_index_is_written_without_a_shuffle(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: plans.update({path.rsplit("/", 1)[-1]: plan(self._df)}) or parquet(self, path, *a, **k))
     StoredIndex(spark, str(tmp_path / "index")).add(spark.createDataFrame(corpus(20), CHUNK))
     assert not [p for name, p in plans.items() if name != "marks" and "Exchange" in p] and len(plans) == 2
+
+
+@pytest.mark.parametrize("name", ["hard_negatives"])
+def test_queries_score_chunks_where_they_are(spark, name):
+    from siftwell.plans import registry
+
+    p = plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "MapInArrow" in p and "sum(w" not in p
