@@ -147,3 +147,11 @@ def test_queries_score_chunks_where_they_are(spark, name):
 
     p = plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert "MapInArrow" in p and "sum(w" not in p
+
+
+@pytest.mark.parametrize("name", ["index_sync"])
+def test_queries_score_segments_where_they_meet(spark, name):
+    from siftwell.plans import registry
+
+    p = plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "FlatMapGroupsInArrow" in p and "hashpartitioning(term" not in p
