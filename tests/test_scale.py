@@ -149,7 +149,7 @@ def test_queries_score_chunks_where_they_are(spark, name):
     assert "MapInArrow" in p and "sum(w" not in p
 
 
-@pytest.mark.parametrize("name", ["index_sync"])
+@pytest.mark.parametrize("name", ["index_sync", "lenient_query"])
 def test_queries_score_segments_where_they_meet(spark, name):
     from siftwell.plans import registry
 
