@@ -141,7 +141,7 @@ def test_index_is_written_without_a_shuffle(spark, tmp_path, monkeypatch):
     assert not [p for name, p in plans.items() if name != "marks" and "Exchange" in p] and len(plans) == 2
 
 
-@pytest.mark.parametrize("name", ["hard_negatives", "rrf_lexical_dedupe", "bm25_batch"])
+@pytest.mark.parametrize("name", ["hard_negatives", "rrf_lexical_dedupe", "bm25_batch", "hit_filter"])
 def test_queries_score_chunks_where_they_are(spark, name):
     from siftwell.plans import registry
 
